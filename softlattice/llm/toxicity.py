@@ -1,8 +1,8 @@
 """Toxicity: non-negative positive-unlabelled learning (Kiryo et al., NIPS 2017).
 
 Confirmed toxic documents are the positives, a hash sample of all texts the
-unlabelled set.  A linear model over word and word-prefix features is fitted by
-the class-prior-corrected risk
+unlabelled set.  A linear model counts, over a text's distinct words, the words
+themselves and their prefixes; it is fitted by the class-prior-corrected risk
 
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))
 
@@ -16,6 +16,7 @@ columns are passed on by `toxicity_filter` and never read.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from dataclasses import dataclass
@@ -59,10 +60,7 @@ def _featurise(batches):
     for batch in batches:
         ids = []
         for text in batch.column("text").to_pylist():
-            found: set[int] = set()
-            for word in _distinct(text):
-                found.update(word_features(word))
-            ids.append(sorted(found))
+            ids.append(sorted(i for word in _distinct(text) for i in word_features(word)))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
 
@@ -82,11 +80,11 @@ def _csr(rows: list[np.ndarray], index: np.ndarray) -> tuple[np.ndarray, np.ndar
     return r[c >= 0], c[c >= 0]
 
 
-def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, features: int = 4096, rounds: int = 400, rate: float = 0.05, decay: float = 2e-5) -> ToxicityModel:
+def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, features: int = 4096, rounds: int = 400, rate: float = 0.05, decay: float = 3e-4) -> ToxicityModel:
     """Fit on feature-id arrays; `features` ids are chosen by how far their share among positives lies from that among unlabelled."""
     if not positive:
         return ToxicityModel(None)
-    count = lambda rows: np.bincount(np.concatenate(rows) if rows else [], minlength=DIMS).astype(float)
+    count = lambda rows: np.bincount(np.concatenate([np.unique(r) for r in rows]) if rows else [], minlength=DIMS).astype(float)
     np_, nu = len(positive), max(len(unlabelled), 1)
     p, u = count(positive) / np_, count(unlabelled) / nu
     both = (p * np_ + u * nu) / (np_ + nu)
@@ -136,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unla
 
 
 class Scorer:
-    """Scores texts; keeps which features of a word carry weight, since words come again."""
+    """Scores texts; keeps what a word weighs, since words come again."""
 
     def __init__(self, model: ToxicityModel):
         self.model, self.seen = model, {}
@@ -144,16 +142,16 @@ class Scorer:
     def __call__(self, text: str | None) -> float:
         if self.model.weights is None:
             return 0.0
-        seen, weights, found = self.seen, self.model.weights, set()
+        seen, weights, parts = self.seen, self.model.weights, []
         for word in _distinct(text):
-            ids = seen.get(word)
-            if ids is None:
+            part = seen.get(word)
+            if part is None:
                 if len(seen) > 300_000:
                     seen.clear()
-                ids = seen[word] = tuple(i for i in word_features(word) if i in weights)
-            if ids:
-                found.update(ids)
-        x = self.model.intercept + sum(weights[i] for i in sorted(found))
+                part = seen[word] = sum(weights.get(i, 0.0) for i in word_features(word))
+            if part:
+                parts.append(part)
+        x = math.fsum([self.model.intercept, *parts])  # exact, so the order of a set doesn't matter
         return float(1 / (1 + np.exp(-np.clip(x, -40, 40))))
 
 
