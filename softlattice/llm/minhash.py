@@ -10,7 +10,9 @@
    probability (1 - 0.75^5)^51, about 1e-6.
 4. Each bucket gives star edges, every member to the bucket's centre, so edges
    are linear in bucket rows.  They are confirmed on full sets; confirmed
-   links give components.
+   links give components.  The first centre is the member that shares most
+   buckets with others, which is near the source of a group of copies; two
+   more turns take a random centre and only members of other components.
 5. A bucket whose members then lie in one component has nothing to add.  Of
    the others, small ones (`small` members at most) give their remaining pairs
    across components; the members of larger ones go to an exact prefix-filter
@@ -18,7 +20,8 @@
    last.  These pairs are confirmed too, and the components united.
 
 Null or empty text, or no word: empty set, linked with nothing, its own
-component.  doc_id names a document: rows that repeat one are linked by it.
+component.  doc_id names a document: rows that repeat one share its component,
+and where their texts differ, the least of their sets stands for it in links.
 """
 
 from __future__ import annotations
@@ -117,7 +120,7 @@ def _set_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The sets of some documents, computed again from their texts: (doc_id, shingles)."""
     small = ids.count() <= BROADCAST_IDS
     some = docs.select("doc_id", "text").join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
-    return some.mapInArrow(_sets, "doc_id long, shingles array<long>").dropDuplicates(["doc_id"])
+    return some.mapInArrow(_sets, "doc_id long, shingles array<long>").groupBy("doc_id").agg(F.min("shingles").alias("shingles"))
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -133,10 +136,30 @@ def _near_sizes(a: str, b: str, percent: int) -> F.Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _rest(bucket: DataFrame, member: DataFrame, docs: DataFrame, ws: Workspace, percent: int, small: int) -> DataFrame:
-    """Candidate pairs across components, from buckets that star edges did not settle."""
-    open_ = bucket.groupBy("h").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("size > 2 and lo <> hi").select("h", "size")
-    left = ws.save(bucket.join(open_, "h"), "open")
+def _members(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+
+
+def _edges(links: DataFrame) -> DataFrame:
+    return links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def _open(bucket: DataFrame) -> DataFrame:
+    """The rows of buckets whose members lie in more than one component."""
+    mixed = bucket.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("h")
+    return bucket.join(mixed, "h")
+
+
+def _stars(bucket: DataFrame, percent: int) -> DataFrame:
+    """Candidate edges: each bucket's member of highest rank to its members of other components."""
+    centre = bucket.groupBy("h").agg(F.max(F.struct("rank", F.col("node").alias("centre"), F.col("n").alias("cn"), F.col("component").alias("cc"))).alias("c")).select("h", "c.centre", "c.cn", "c.cc")
+    edge = bucket.join(centre, "h").where("component <> cc").where(_near_sizes("n", "cn", percent))
+    return edge.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+
+
+def _rest(left: DataFrame, docs: DataFrame, ws: Workspace, percent: int, small: int) -> DataFrame:
+    """Candidate pairs across components, from buckets of three or more that star edges did not settle."""
+    left = left.where("size > 2")
 
     def across(rows: DataFrame) -> DataFrame:
         a = rows.select("h", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
@@ -166,26 +189,26 @@ def near_duplicates(docs: DataFrame, percent: int = 75, small: int = 32) -> Data
     node = ws.save(full.groupBy("key1", "key2").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "node")
 
     rows = node.select("node", "n", F.explode("bands").alias("h"))
-    centre = rows.groupBy("h").agg(F.min(F.struct(F.xxhash64("node").alias("o"), F.col("node").alias("node"), F.col("n").alias("n"))).alias("c"), F.count("*").alias("size")).where("size > 1")
-    bucket = ws.save(rows.join(centre.select("h", F.col("c.node").alias("centre"), F.col("c.n").alias("cn")), "h"), "bucket")
-    stars = bucket.where("node <> centre").where(_near_sizes("n", "cn", percent))
-    stars = ws.save(stars.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "stars")
-    member = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct()
-    sets = ws.save(_set_table(docs, member), "sets")
-    links = ws.save(_confirm(stars, sets, percent), "links")
-    # Rows that repeat a doc_id with another text: united by that id.
-    first = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), ws, "one")
-
-    labelled = bucket.select("h", "node", "n").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    labelled = ws.save(labelled, "labelled")
-    rest = ws.save(_rest(labelled, first, docs, ws, percent, small).join(stars, ["a", "b"], "left_anti"), "rest")
-    if rest.isEmpty():
-        last = first
-    else:
-        more = rest.select(F.col("a").alias("doc_id")).union(rest.select("b")).distinct()
-        found = _confirm(rest, _set_table(docs, more), percent)
-        last = components(links.union(found).select(F.col("a").alias("u"), F.col("b").alias("v")), ws, "two")
-    ws.drop("bucket", "labelled", "sets", "open", "large", "token")
+    shared = rows.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
+    bucket = ws.save(rows.join(shared, "h"), "bucket")
+    crowd = bucket.groupBy("node").agg(F.sum("size").alias("crowd"))
+    bucket = bucket.join(crowd, "node").withColumn("component", F.col("node"))
+
+    links, last = None, None
+    for turn, rank in enumerate(("crowd", F.xxhash64("node", "h"), F.xxhash64("h", "node"))):
+        stars = ws.save(_stars(bucket.withColumn("rank", F.col(rank) if isinstance(rank, str) else rank), percent), f"stars{turn}")
+        if turn and stars.isEmpty():
+            break
+        found = ws.save(_confirm(stars, _set_table(docs, _members(stars)), percent), f"links{turn}")
+        links = found if links is None else links.union(found)
+        last = components(_edges(links), ws, f"turn{turn}")
+        bucket = bucket.drop("component").join(last, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        bucket = ws.save(_open(bucket), f"open{turn}")
+    rest = ws.save(_rest(bucket, docs, ws, percent, small), "rest")
+    if not rest.isEmpty():
+        found = ws.save(_confirm(rest, _set_table(docs, _members(rest)), percent), "links")
+        last = components(_edges(links.union(found)), ws, "last")
+    ws.drop("bucket", "open0", "open1", "open2", "large", "token", "rest")
     copies = node.where("node <> last").select("key1", "key2", "node")
     out = signed.select("doc_id", "n_shingles", "key1", "key2").join(copies, ["key1", "key2"], "left").withColumn("node", F.coalesce("node", "doc_id"))
     out = out.join(last, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
