@@ -24,10 +24,12 @@ that repeat a doc_id follow each other, by text hash.
 
 from __future__ import annotations
 
+import gc
 import re
 import struct
 import uuid
 import zlib
+from array import array
 from bisect import bisect_right
 from dataclasses import dataclass
 
@@ -170,12 +172,15 @@ class ShardReader:
 
 #: A space between two other characters always starts a new pre-token of the byte-level split, so pieces encode alone as they do in the text.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_RUN = re.compile(r"\s\s")
+#: So does such punctuation after a letter or digit.
+_TAIL = re.compile(r"(?s)(.*[^\W_])([.,;:!?].*)")
 
 
 class Encoder:
     """The tokenizers library over the pieces of a text, each distinct piece encoded once while it is remembered."""
 
-    def __init__(self, path: str, remember: int = 400_000):
+    def __init__(self, path: str, remember: int = 500_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -185,18 +190,37 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.remember, self.known = remember, {}
 
+    def _learn(self, new: list[str]) -> None:
+        known, whole = self.known, []
+        parts = [m.groups() if (m := _TAIL.fullmatch(x)) else (x,) for x in new]
+        whole = list({p for x in parts for p in x if p not in known})
+        for x, e in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True):
+            known[x] = array("I", e.ids).tobytes()
+        for x, p in zip(new, parts, strict=True):
+            if len(p) > 1:
+                known[x] = known[p[0]] + known[p[1]]
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, with the end id."""
         pieces = []
         for t in texts:
-            p = _CUT.split(t) if t else []
+            if not t:
+                p = []
+            elif t[0].isspace() or t[-1].isspace() or _RUN.search(t):
+                p = _CUT.split(t)
+            else:
+                p = t.split(" ")
             pieces.append([p[0], *[" " + x for x in p[1:]]] if p else [])
         if len(self.known) > self.remember:
             self.known.clear()
-        new = list({x for p in pieces for x in p if x not in self.known})
-        for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[x] = np.array(e.ids, "<u4").tobytes()
-        get, end = self.known.__getitem__, struct.pack("<I", END)
+        known, on = self.known, gc.isenabled()
+        gc.disable()  # else every few hundred new ids the collector walks what is known
+        try:
+            self._learn(list({x for p in pieces for x in p if x not in known}))
+        finally:
+            if on:
+                gc.enable()
+        get, end = known.__getitem__, struct.pack("<I", END)
         return [b"".join(map(get, p)) + end for p in pieces]
 
 
