@@ -7,8 +7,9 @@ A shard file holds documents in ascending key order:
     bloom    bits of the doc_ids, 10 a key, 7 probes
     footer   64 bytes: offsets and lengths of index and bloom, entries, ids, magic
 
-An entry is varint(shared), varint(unshared), varint(ids), the key's unshared
-bytes and the ids as little-endian unsigned 32-bit integers.  A key is 16 bytes
+An entry is varint(shared), varint(unshared), varint(2 * ids + wide), the key's
+unshared bytes and the ids, little-endian unsigned: of 16 bits each, or of 32
+where one needs them (wide).  A key is 16 bytes
 big-endian: doc_id with its sign bit flipped, and the occurrence of that doc_id
 within the shard; the first entry of a block shares nothing, so a block can be
 read alone.  A lookup tests the Bloom filter, bisects the index and scans one
@@ -103,8 +104,10 @@ class ShardWriter:
         else:
             while shared < 16 and key[shared] == self.last[shared]:
                 shared += 1
-        count = len(ids) // 4
-        self.block.append(_varint(shared) + _varint(16 - shared) + _varint(count) + key[shared:] + ids)
+        count, value = len(ids) // 4, np.frombuffer(ids, "<u4")
+        wide = bool(count and value.max() > 0xFFFF)
+        data = ids if wide else value.astype("<u2").tobytes()
+        self.block.append(_varint(shared) + _varint(16 - shared) + _varint(2 * count + wide) + key[shared:] + data)
         self.last, self.ids, self.n, self.block_ids = key, self.ids + count, self.n + 1, self.block_ids + count
         self.doc_ids.append(doc_id)
         if self.block_ids >= BLOCK:
@@ -148,10 +151,12 @@ class ShardReader:
             shared, at = _read_varint(self.data, at)
             unshared, at = _read_varint(self.data, at)
             count, at = _read_varint(self.data, at)
+            count, width = count >> 1, 4 if count & 1 else 2
             key = key[:shared] + bytes(self.data[at : at + unshared])
             at += unshared
-            yield key, before, self.data[at : at + 4 * count]
-            at, before = at + 4 * count, before + count
+            ids = self.data[at : at + width * count]
+            yield key, before, ids if width == 4 else np.frombuffer(ids, "<u2").astype("<u4").tobytes()
+            at, before = at + width * count, before + count
 
     def scan(self):
         """(doc_id, ids before it in the shard, its ids as bytes), in order."""
