@@ -17,7 +17,9 @@
    the others, small ones (`small` members at most) give their remaining pairs
    across components; the members of larger ones go to an exact prefix-filter
    join (rarest shingles first), where passages that many documents share come
-   last.  These pairs are confirmed too, and the components united.
+   last.  Either way a pair is a row only if parity sketches of both sets allow
+   the similarity (`sketch`).  These pairs are confirmed too, and the components
+   united.
 
 Null or empty text, or no word: empty set, linked with nothing, its own
 component.  doc_id names a document: rows that repeat one share its component,
@@ -26,6 +28,8 @@ and where their texts differ, the least of their sets stands for it in links.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -112,15 +116,53 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _longs(list(_by_document(batch)))], names=["doc_id", "shingles"])
 
 
+SKETCH = 1024
+_SAMPLE = 16
+
+
+def sketch(shingle: np.ndarray) -> np.ndarray:
+    """Parity bits of the set (1024), and of the sixteenth of it whose hashes say so (1024), as 32 longs.
+
+    The exclusive or of two sets' bits is that of their symmetric difference, so
+    its ones are never more than the difference has elements.
+    """
+    h = splitmix(shingle ^ np.uint64(0xD1B54A32D192ED03))
+    out = []
+    for part in (h, h[(h >> np.uint64(32)) % np.uint64(_SAMPLE) == 0]):
+        bits = np.bincount((part % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+        out.append(np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64))
+    return np.concatenate(out)
+
+
+def _sketches(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _longs([sketch(s) for s in _by_document(batch)])], names=["doc_id", "bits"])
+
+
+def _may_reach(na: str, nb: str, percent: int) -> F.Column:
+    """Whether sketches `ba` and `bb` allow the similarity.
+
+    It needs a difference of (100 - percent) / (100 + percent) of both sizes at
+    most.  The ones may not exceed that many, nor, where many elements meet in a
+    bit, their expectation by more than six standard deviations; likewise for
+    the sample, whose own size varies.
+    """
+    ones = lambda lo: sum((F.bit_count(F.col("ba")[i].bitwiseXOR(F.col("bb")[i])) for i in range(lo, lo + 16)), F.lit(0))
+    most = (F.col(na) + F.col(nb)) * (100 - percent) / (100 + percent)
+    bound = lambda d: F.least(d, SKETCH / 2 * (1 - F.exp(-2 * d / SKETCH)) + 3 * math.sqrt(SKETCH))
+    part = most / _SAMPLE
+    return (ones(0) <= bound(most)) & (ones(16) <= bound(part + 6 * F.sqrt(part) + 10))
+
+
 #: Ids up to this many (8 MB) are broadcast to the scan; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
 
-def _set_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The sets of some documents, computed again from their texts: (doc_id, shingles)."""
+def _set_table(docs: DataFrame, ids: DataFrame, of=_sets, column: str = "shingles") -> DataFrame:
+    """The sets (or sketches) of some documents, computed again from their texts: (doc_id, shingles)."""
     small = ids.count() <= BROADCAST_IDS
     some = docs.select("doc_id", "text").join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
-    return some.mapInArrow(_sets, "doc_id long, shingles array<long>").groupBy("doc_id").agg(F.min("shingles").alias("shingles"))
+    return some.mapInArrow(of, f"doc_id long, {column} array<long>").groupBy("doc_id").agg(F.min(column).alias(column))
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -160,11 +202,16 @@ def _stars(bucket: DataFrame, percent: int) -> DataFrame:
 def _rest(left: DataFrame, docs: DataFrame, ws: Workspace, percent: int, small: int) -> DataFrame:
     """Candidate pairs across components, from buckets of three or more that star edges did not settle."""
     left = left.where("size > 2")
+    if left.isEmpty():
+        return left.selectExpr("node as a", "node as b").limit(0)
+    bits = ws.save(_set_table(docs, left.select(F.col("node").alias("doc_id")).distinct(), _sketches, "bits"), "bits").withColumnRenamed("doc_id", "node")
 
     def across(rows: DataFrame) -> DataFrame:
-        a = rows.select("h", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-        b = rows.select("h", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-        return a.join(b, "h").where("a < b and ca <> cb").where(_near_sizes("na", "nb", percent)).select("a", "b").distinct()
+        rows = rows.join(bits, "node")
+        a = rows.select("h", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("bits").alias("ba"))
+        b = rows.select("h", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("bits").alias("bb"))
+        meet = (a["h"] == b["h"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near_sizes("na", "nb", percent) & _may_reach("na", "nb", percent)
+        return a.join(b, meet).select("a", "b").distinct()
 
     pairs = across(left.where(F.col("size") <= small))
     large = ws.save(left.where(F.col("size") > small).select("node", "n", "component").distinct(), "large")
