@@ -80,8 +80,8 @@ def _csr(rows: list[np.ndarray], index: np.ndarray) -> tuple[np.ndarray, np.ndar
     return r[c >= 0], c[c >= 0]
 
 
-def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, features: int = 4096, rounds: int = 400, rate: float = 0.05, decay: float = 3e-4) -> ToxicityModel:
-    """Fit on feature-id arrays; `features` ids are chosen by how far their share among positives lies from that among unlabelled."""
+def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, features: int = 4096, least: int = 3, rounds: int = 400, rate: float = 0.05, decay: float = 1e-3) -> ToxicityModel:
+    """Fit on feature-id arrays; `features` ids are chosen by how far their share among positives lies from that among unlabelled, of those in `least` positives (or texts, where rarer among positives)."""
     if not positive:
         return ToxicityModel(None)
     count = lambda rows: np.bincount(np.concatenate([np.unique(r) for r in rows]) if rows else [], minlength=DIMS).astype(float)
@@ -89,6 +89,7 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     p, u = count(positive) / np_, count(unlabelled) / nu
     both = (p * np_ + u * nu) / (np_ + nu)
     z = (p - u) / np.sqrt(both * (1 - both) * (1 / np_ + 1 / nu) + 1e-6)
+    z = np.where(np.where(z > 0, p * np_, p * np_ + u * nu) > least - 0.5, z, 0.0)
     chosen = np.argsort(-np.abs(z), kind="stable")[:features]
     chosen = np.sort(chosen[np.abs(z[chosen]) > 2.0])
     index = np.full(DIMS, -1, np.int64)
