@@ -71,22 +71,28 @@ def _sample(docs: DataFrame, ids: DataFrame, n: int) -> list[np.ndarray]:
     return [np.asarray(x.values, np.int32) for x in table.column("ids")] if table.num_rows else []
 
 
+def _counts(rows: list[np.ndarray]) -> np.ndarray:
+    """How many rows hold each id; one row at a time, so that no copy of them all is made."""
+    out = np.zeros(DIMS)
+    for row in rows:
+        out[np.unique(row)] += 1
+    return out
+
+
 def _csr(rows: list[np.ndarray], index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row and selected column of each set feature; index maps a hashed id to its column or -1."""
-    if not rows:
+    columns = [c[c >= 0] for c in (index[row] for row in rows)]
+    if not columns:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    r = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
-    c = index[np.concatenate(rows)] if len(r) else np.zeros(0, np.int64)
-    return r[c >= 0], c[c >= 0]
+    return np.repeat(np.arange(len(rows)), [len(c) for c in columns]), np.concatenate(columns)
 
 
 def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, features: int = 4096, least: int = 3, rounds: int = 400, rate: float = 0.05, decay: float = 1e-3) -> ToxicityModel:
     """Fit on feature-id arrays; `features` ids are chosen by how far their share among positives lies from that among unlabelled, of those in `least` positives (or texts, where rarer among positives)."""
     if not positive:
         return ToxicityModel(None)
-    count = lambda rows: np.bincount(np.concatenate([np.unique(r) for r in rows]) if rows else [], minlength=DIMS).astype(float)
     np_, nu = len(positive), max(len(unlabelled), 1)
-    p, u = count(positive) / np_, count(unlabelled) / nu
+    p, u = _counts(positive) / np_, _counts(unlabelled) / nu
     both = (p * np_ + u * nu) / (np_ + nu)
     z = (p - u) / np.sqrt(both * (1 - both) * (1 / np_ + 1 / nu) + 1e-6)
     z = np.where(np.where(z > 0, p * np_, p * np_ + u * nu) > least - 0.5, z, 0.0)
