@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import decontaminate, minhash, mixing, neighbours, quality, secrets, sharding, sstable, toxicity, urls
+from .oracles import ORACLE_SQL
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -17,4 +18,4 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -20,7 +20,8 @@ encodes and writes shards of `SHARD_IDS` ids, so a task holds one shard and one
 batch whatever its share.  Files are written under a task's own name and then
 moved into place; a lost executor's task writes the same bytes again.  Texts are
 whole; null counts as empty and, like every document, ends with id 2.  Rows
-that repeat a doc_id follow each other, by text hash.
+that repeat a doc_id follow each other, by text hash.  A row without a doc_id
+has no key and is not written.
 """
 
 from __future__ import annotations

@@ -295,6 +295,17 @@ def test_nnpu_finds_the_positive_word():
     assert m.weights[1] > 1 and m.intercept < 0
 
 
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
+def test_sql_says_the_same(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    found = registry.QUERIES[name](spark, SF).toPandas()
+    want = con.sql(registry.ORACLE_SQL[name]).df()[list(found.columns)]
+    assert len(want) and sorted(found.itertuples(index=False, name=None)) == sorted(want.itertuples(index=False, name=None))
+
+
 def test_pipeline(spark):
     kept, names = None, []
     docs = spark.read.parquet(f"{SF}/documents.parquet")
