@@ -16,7 +16,8 @@
 5. A bucket whose members then lie in one component has nothing to add.  Of
    the others, small ones (`small` members at most) give their remaining pairs
    across components; the members of larger ones go to an exact prefix-filter
-   join (rarest shingles first), where passages that many documents share come
+   join (rarest shingles first, of those that
+   several components hold), where passages that many documents share come
    last.  Either way a pair is a row only if parity sketches of both sets allow
    the similarity (`sketch`).  These pairs are confirmed too, and the components
    united.
@@ -218,10 +219,12 @@ def _rest(left: DataFrame, docs: DataFrame, ws: Workspace, percent: int, small:
     if large.isEmpty():
         return pairs
     token = ws.save(_set_table(docs, large.select(F.col("node").alias("doc_id"))).join(large.withColumnRenamed("node", "doc_id"), "doc_id").select(F.col("doc_id").alias("node"), "n", "component", F.explode("shingles").alias("h")), "token")
-    often = token.groupBy("h").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    ranked = token.join(often, "h").groupBy("node", "n", "component").agg(F.sort_array(F.collect_list(F.struct("df", "h", (F.col("lo") != F.col("hi")).alias("open")))).alias("t"))
-    need = F.ceil(F.col("n") * percent / 100)
-    prefix = ranked.select("node", "n", "component", F.explode(F.slice("t", F.lit(1), (F.col("n") - need + 1).cast("int"))).alias("t")).where("t.open").select("node", "n", "component", F.col("t.h").alias("h"))
+    # Shingles of one component only can link nothing new: they come first in the order of the
+    # prefix filter, so of n shingles with m open ones the prefix holds m - need + 1 open ones.
+    often = token.groupBy("h").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("h", "df")
+    ranked = token.join(often, "h").groupBy("node", "n", "component").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("t"))
+    length = (F.size("t") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
+    prefix = ranked.withColumn("length", length).where("length > 0").select("node", "n", "component", F.explode(F.slice("t", F.lit(1), F.col("length"))).alias("t")).select("node", "n", "component", F.col("t.h").alias("h"))
     return pairs.union(across(prefix)).distinct()
 
 
