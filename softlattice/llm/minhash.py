@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .text import shingles, splitmix, words
-from .workspace import Workspace, small_batches
+from .workspace import Workspace, release, small_batches
 
 BINS, BAND, K = 256, 5, 5
 _SHIFT = np.uint64(64 - 8)
@@ -254,6 +254,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, small: int = 32) -> Data
         last = components(_edges(links), ws, f"turn{turn}")
         bucket = bucket.drop("component").join(last, "node", "left").withColumn("component", F.coalesce("component", "node"))
         bucket = ws.save(_open(bucket), f"open{turn}")
+        release(spark)
     rest = ws.save(_rest(bucket, docs, ws, percent, small), "rest")
     if not rest.isEmpty():
         found = ws.save(_confirm(rest, _set_table(docs, _members(rest)), percent), "links")

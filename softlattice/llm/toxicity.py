@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .workspace import small_batches
+from .workspace import release, small_batches
 
 DIMS = 1 << 18
 _WORD = re.compile(r"\w+")
@@ -137,7 +137,10 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unla
     positive = _sample(docs, least(known.where("toxic = 1"), max_positive), max_positive)
     unlabelled = _sample(docs, least(docs, max_unlabelled), max_unlabelled)
     prior = min(max(toxic / n, 1 / n), 0.9)
-    return fit_nnpu(positive, unlabelled, min(prior, 1 - 1e-3))
+    model = fit_nnpu(positive, unlabelled, min(prior, 1 - 1e-3))
+    del positive, unlabelled
+    release(docs.sparkSession)
+    return model
 
 
 class Scorer:

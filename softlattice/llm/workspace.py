@@ -10,9 +10,12 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _LEFT: list[tuple[object, str]] = []
@@ -62,3 +65,12 @@ class Workspace:
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Whole texts can be long: keep Arrow batches short so that a Python worker holds few of them."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def release(spark: SparkSession) -> None:
+    """Give back what the driver no longer uses: Python's and Arrow's free memory, and the JVM's, with broadcasts and shuffles out of reach."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library is glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    spark.sparkContext._jvm.System.gc()
