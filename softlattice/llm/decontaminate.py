@@ -3,18 +3,21 @@
 Words become template tokens: numbers, names (capitalised words inside a
 sentence) and units (after a number) turn into typed placeholders, anything
 else is the lower-cased word without its outer punctuation.  Windows of five
-template tokens, three of them literal at least, are hash-joined against the
-benchmark's windows.  A hit fixes an alignment of document and item; along it
-the whole item is compared, and slots must be consistent: one slot value of the
-item always stands for the same value in the document.  A document is
-contaminated by an item when `coverage` of the item's tokens match, or `run`
-tokens in a row (eight of them literal).  So re-parameterised copies (other
-numbers, names, units) are caught, and chance windows are not.
+tokens are hash-joined against the benchmark's windows in every reading: as
+templates with three literal tokens at least, as the same where four or more capitals in a row are none, and
+as the plain words.  Items of under five words are joined whole, word by word.
+A hit fixes an alignment of document and item; along it the whole item is
+compared, and slots must be consistent: one slot value of the item always
+stands for the same value in the document.  A document is contaminated by an
+item when `coverage` of the item's tokens match in runs of five, or `run` tokens in a row (eight of them literal, or all the same).  So
+re-parameterised copies (other numbers, names, units) are caught, and chance
+windows are not.
 
 The benchmark is taken in blocks of `block` items; each block, of bounded size,
 is broadcast to one scan of the documents, so a benchmark of any size works and
-no text is shuffled.  Null or empty texts are clean; items of under five words
-or without a literal window, and null items, match nothing.
+no text is shuffled.  Null or empty texts are clean; null items and items without a word match
+nothing.  A short item is found wherever its words stand, so an item of one
+common word contaminates every document that has the word.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ from .workspace import Workspace, small_batches
 
 W = 5
 LITERAL, NUMBER, NAME, UNIT = 0, 1, 2, 3
+#: Beside these, flags of a word: one of four capitals or more in a row, one of a text of capitals.
+KIND, CAPITALS, TITLE = 3, 8, 16
 _SLOT = splitmix(np.array([0, 71, 72, 73], np.uint64))
 #: Units of measure and money.
 UNITS = (
@@ -48,11 +53,12 @@ def _bytes(chars: str) -> np.ndarray:
 
 
 _PUNCT, _STOP, _DIGIT, _LEAD, _UPPER = _bytes(".,;:!?\"'()[]{}"), _bytes(".!?:;|\""), _bytes("0123456789"), _bytes("$+-#"), _bytes("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+_LOWER = _bytes("abcdefghijklmnopqrstuvwxyz") | (np.arange(256) >= 128)
 
 
 @dataclass
 class Tokens:
-    """Of a batch: template token, plain hash and kind of every word; `doc` has n+1 offsets."""
+    """Of a batch: template token, plain hash and kind, with its flags, of every word; `doc` has n+1 offsets."""
 
     template: np.ndarray
     plain: np.ndarray
@@ -84,7 +90,20 @@ def tokens(column: pa.Array) -> Tokens:
     unit[1:] = number[:-1] & np.isin(plain[1:], _unit_hashes())
     unit &= ~begins
     kind = np.select([number, unit, name], [NUMBER, UNIT, NAME], LITERAL).astype(np.uint8)
-    return Tokens(np.where(kind == LITERAL, plain, _SLOT[kind]), plain, kind, doc)
+    return Tokens(np.where(kind == LITERAL, plain, _SLOT[kind]), plain, kind | _capitals(head, kind, doc), doc)
+
+
+def _capitals(head: np.ndarray, kind: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Flags of every word; only a word that begins with a small letter, or the text's end, ends a row of capitals."""
+    big, solid, size = _UPPER[head], ~_LOWER[head], np.diff(doc)
+    opens = solid.copy()
+    opens[1:] &= ~solid[:-1]
+    first = doc[:-1][size > 0]
+    opens[first] = solid[first]
+    row = np.maximum(np.cumsum(opens) - 1, 0)
+    count, length = (np.bincount(row[mask], minlength=row[-1] + 1)[row] for mask in (solid & big, solid))
+    title = (count >= 8) | (length == np.repeat(size, size))
+    return ((big & (count >= 4)) * CAPITALS + (big & (count >= 4) & title) * TITLE).astype(np.uint8)
 
 
 _units: list[np.ndarray] = []
@@ -98,23 +117,34 @@ def _unit_hashes() -> np.ndarray:
     return _units[0]
 
 
-def _windows(template: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the windows that have three literal tokens."""
+def _windows(template: np.ndarray, plain: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of the windows, in every reading: three literal tokens, or all words as they stand."""
     if len(template) < W:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    sums = np.concatenate([[0], np.cumsum(kind == LITERAL)])
-    at = np.flatnonzero(sums[W:] - sums[:-W] >= 3)
-    return at, window_hash(template, W)[at]
+
+    def some(mask: np.ndarray) -> np.ndarray:
+        sums = np.concatenate([[0], np.cumsum(mask)])
+        return sums[W:] - sums[:-W]
+
+    literal = (kind & KIND) == LITERAL
+    crowd = ((kind & KIND) == NAME) & ((kind & CAPITALS) > 0)
+    at, hashes = [np.flatnonzero(some(literal) >= 3)], [window_hash(template, W)]
+    for differs, words, fixed in ((crowd, np.where(crowd, plain, template), literal | crowd), (~literal, plain, np.ones(len(plain), bool))):
+        if differs.any():
+            at.append(np.flatnonzero((some(differs) > 0) & (some(fixed) >= 3)))
+            hashes.append(window_hash(words, W))
+    return np.concatenate(at), np.concatenate([h[i] for h, i in zip(hashes, at, strict=True)])
 
 
 @dataclass
 class Index:
-    """A block of items and the sorted hashes of their windows."""
+    """A block of items, the sorted hashes of their windows, and the lengths of items too short for one."""
 
     items: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
     hashes: np.ndarray | None = None
     item: np.ndarray | None = None
     at: np.ndarray | None = None
+    short: list[int] = field(default_factory=list)
 
 
 def build_index(rows: list[tuple[int, str | None]]) -> Index:
@@ -122,18 +152,29 @@ def build_index(rows: list[tuple[int, str | None]]) -> Index:
     t = tokens(pa.array([r[1] for r in rows], pa.string()))
     for i, (item_id, _) in enumerate(rows):
         lo, hi = t.doc[i], t.doc[i + 1]
-        pos, hashes = _windows(t.template[lo:hi], t.kind[lo:hi])
+        n = int(hi - lo)
+        if 0 < n < W:
+            pos, hashes = np.zeros(1, np.int64), window_hash(t.plain[lo:hi], n)
+            out.short = sorted({*out.short, n})
+        else:
+            pos, hashes = _windows(t.template[lo:hi], t.plain[lo:hi], t.kind[lo:hi])
         if len(pos):
             h.append(hashes)
             item.append(np.full(len(pos), len(out.items)))
             at.append(pos)
-            out.items.append((item_id, t.template[lo:hi], t.plain[lo:hi], t.kind[lo:hi]))
+            out.items.append((item_id, t.plain[lo:hi], t.kind[lo:hi], _slots(t.kind[lo:hi])))
     if h:
         order = np.argsort(np.concatenate(h), kind="stable")
         out.hashes, out.item, out.at = np.concatenate(h)[order], np.concatenate(item)[order], np.concatenate(at)[order]
     return out
 
 
+def _slots(kind: np.ndarray) -> np.ndarray:
+    """The kind of slot that a word can be, LITERAL for none; a capital can be a name unless the whole text has them."""
+    slot = kind & KIND
+    return np.where((slot == NAME) & ((kind & TITLE) > 0), LITERAL, slot)
+
+
 def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
     edge = np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))
     return list(zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True))
@@ -152,8 +193,13 @@ def _consistent(mask: np.ndarray, kind: np.ndarray, item: np.ndarray, doc: np.nd
 
 def judge(index: Index, template: np.ndarray, plain: np.ndarray, kind: np.ndarray, coverage: float, run: int) -> list[tuple[int, float, int]]:
     """(item_id, share of its tokens found, longest run) of every item that contaminates the document."""
-    pos, hashes = _windows(template, kind)
-    if not len(pos) or index.hashes is None:
+    if index.hashes is None:
+        return []
+    pos, hashes = _windows(template, plain, kind)
+    for n in index.short:
+        if len(plain) >= n:
+            pos, hashes = np.concatenate([pos, np.arange(len(plain) - n + 1)]), np.concatenate([hashes, window_hash(plain, n)])
+    if not len(pos):
         return []
     lo = np.searchsorted(index.hashes, hashes)
     hit = np.flatnonzero(index.hashes[np.minimum(lo, len(index.hashes) - 1)] == hashes)
@@ -164,24 +210,26 @@ def judge(index: Index, template: np.ndarray, plain: np.ndarray, kind: np.ndarra
     src = np.repeat(pos[hit], many)
     k = np.repeat(lo - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
     pairs = np.unique(np.stack([index.item[k], src - index.at[k]], 1), axis=0)  # item, diagonal
-    out = []
+    out, slots = [], _slots(kind)
     for i in np.unique(pairs[:, 0]):
-        item_id, it, ip, ik = index.items[i]
-        found, longest = np.zeros(len(it), bool), 0
+        item_id, ip, ik, slot = index.items[i]
+        found, longest, share = np.zeros(len(ip), bool), 0, 0.0
         for d in pairs[pairs[:, 0] == i, 1]:
-            a, b = max(0, -d), min(len(it), len(template) - d)
-            mask, there = np.zeros(len(it), bool), np.zeros(len(it), np.uint64)
-            mask[a:b] = it[a:b] == template[a + d : b + d]
+            a, b = max(0, -d), min(len(ip), len(plain) - d)
+            mask, same, there = np.zeros(len(ip), bool), np.zeros(len(ip), bool), np.zeros(len(ip), np.uint64)
             there[a:b] = plain[a + d : b + d]
-            mask = _consistent(mask, ik, ip, there)
+            same[a:b] = ip[a:b] == there[a:b]
+            mask[a:b] = same[a:b] | ((slot[a:b] != LITERAL) & (slot[a:b] == slots[a + d : b + d]))
+            mask = _consistent(mask, slot, ip, there)
             for x, y in _runs(mask):
-                if y - x >= W:
+                if y - x >= min(W, len(ip)):
                     found[x:y] = True
-                    if (ik[x:y] == LITERAL).sum() >= min(8, len(it)):
-                        longest = max(longest, y - x)
-        share = float(found.mean())
+                    if ((ik[x:y] & KIND) == LITERAL).sum() >= min(8, len(ip)):
+                        longest = max(longest, int(y - x))
+            longest = max([longest, *(int(y - x) for x, y in _runs(same) if y - x >= min(W, len(ip)))])
+        share = max(share, float(found.mean()))
         if share >= coverage or longest >= run:
-            out.append((item_id, share, int(longest)))
+            out.append((item_id, share, longest))
     return out
 
 
