@@ -4,12 +4,14 @@ Words become template tokens: numbers, names (capitalised words inside a
 sentence) and units (after a number) turn into typed placeholders, anything
 else is the lower-cased word without its outer punctuation.  Windows of five
 tokens are hash-joined against the benchmark's windows in every reading: as
-templates with three literal tokens at least, as the same where four or more capitals in a row are none, and
+templates with three literal tokens at least, as the same where capitals that
+begin a sentence are names, where four or more capitals in a row are none, and
 as the plain words.  Items of under five words are joined whole, word by word.
 A hit fixes an alignment of document and item; along it the whole item is
 compared, and slots must be consistent: one slot value of the item always
 stands for the same value in the document.  A document is contaminated by an
-item when `coverage` of the item's tokens match in runs of five, or `run` tokens in a row (eight of them literal, or all the same).  So
+item when `coverage` of the item's tokens match in an alignment or in its runs
+of five, or `run` tokens in a row (eight of them literal, or all the same).  So
 re-parameterised copies (other numbers, names, units) are caught, and chance
 windows are not.
 
@@ -35,8 +37,8 @@ from .workspace import Workspace, small_batches
 
 W = 5
 LITERAL, NUMBER, NAME, UNIT = 0, 1, 2, 3
-#: Beside these, flags of a word: one of four capitals or more in a row, one of a text of capitals.
-KIND, CAPITALS, TITLE = 3, 8, 16
+#: Beside these, flags of a word: a capital that its place may explain, one of four capitals or more in a row, one of a text of capitals.
+KIND, MAYBE, CAPITALS, TITLE = 3, 4, 8, 16
 _SLOT = splitmix(np.array([0, 71, 72, 73], np.uint64))
 #: Units of measure and money.
 UNITS = (
@@ -103,7 +105,8 @@ def _capitals(head: np.ndarray, kind: np.ndarray, doc: np.ndarray) -> np.ndarray
     row = np.maximum(np.cumsum(opens) - 1, 0)
     count, length = (np.bincount(row[mask], minlength=row[-1] + 1)[row] for mask in (solid & big, solid))
     title = (count >= 8) | (length == np.repeat(size, size))
-    return ((big & (count >= 4)) * CAPITALS + (big & (count >= 4) & title) * TITLE).astype(np.uint8)
+    maybe = big & (kind == LITERAL)
+    return (maybe * MAYBE + (big & (count >= 4)) * CAPITALS + (big & (count >= 4) & title) * TITLE).astype(np.uint8)
 
 
 _units: list[np.ndarray] = []
@@ -126,10 +129,10 @@ def _windows(template: np.ndarray, plain: np.ndarray, kind: np.ndarray) -> tuple
         sums = np.concatenate([[0], np.cumsum(mask)])
         return sums[W:] - sums[:-W]
 
-    literal = (kind & KIND) == LITERAL
+    literal, maybe = (kind & KIND) == LITERAL, (kind & MAYBE) > 0
     crowd = ((kind & KIND) == NAME) & ((kind & CAPITALS) > 0)
     at, hashes = [np.flatnonzero(some(literal) >= 3)], [window_hash(template, W)]
-    for differs, words, fixed in ((crowd, np.where(crowd, plain, template), literal | crowd), (~literal, plain, np.ones(len(plain), bool))):
+    for differs, words, fixed in ((maybe, np.where(maybe, _SLOT[NAME], template), literal & ~maybe), (crowd, np.where(crowd, plain, template), literal | crowd), (~literal, plain, np.ones(len(plain), bool))):
         if differs.any():
             at.append(np.flatnonzero((some(differs) > 0) & (some(fixed) >= 3)))
             hashes.append(window_hash(words, W))
@@ -171,7 +174,7 @@ def build_index(rows: list[tuple[int, str | None]]) -> Index:
 
 def _slots(kind: np.ndarray) -> np.ndarray:
     """The kind of slot that a word can be, LITERAL for none; a capital can be a name unless the whole text has them."""
-    slot = kind & KIND
+    slot = np.where(kind & MAYBE, NAME, kind & KIND)
     return np.where((slot == NAME) & ((kind & TITLE) > 0), LITERAL, slot)
 
 
@@ -221,6 +224,7 @@ def judge(index: Index, template: np.ndarray, plain: np.ndarray, kind: np.ndarra
             same[a:b] = ip[a:b] == there[a:b]
             mask[a:b] = same[a:b] | ((slot[a:b] != LITERAL) & (slot[a:b] == slots[a + d : b + d]))
             mask = _consistent(mask, slot, ip, there)
+            share = max(share, float(mask.mean()))
             for x, y in _runs(mask):
                 if y - x >= min(W, len(ip)):
                     found[x:y] = True

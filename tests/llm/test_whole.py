@@ -15,3 +15,10 @@ def test_items_of_few_words_or_capitals_are_found():
     assert leaks(gas, f"x {gas} y", gas.lower(), gas.title(), "SOME OTHER TEXT IN CAPITALS THAT SAYS NOTHING OF ANY GAS AT ALL") == [True, True, True, False]
     train = "A train leaves the old station at 40 km every hour and reaches the coast after 3 hours of rain"
     assert leaks(train, train.upper(), train.upper().replace("40", "75").replace(" 3 ", " 9 "), train.title()) == [True, True, True]
+
+
+def test_names_that_begin_a_sentence_are_slots():
+    apples = "Maria has 12 apples. Maria eats 3 apples. Maria buys 9 apples. How many apples does Maria have now?"
+    assert leaks(apples, apples.replace("Maria", "Anna").replace("12", "31").replace(" 3 ", " 8 "), "Anna has 4 dogs. Bob eats 3 pears. Lea buys 2 cups. How many dogs bark?") == [True, False]
+    short = "Maria has 12 apples. Maria eats 3 apples. Maria buys 9 apples."
+    assert leaks(short, short.replace("Maria", "Anna").replace("12", "31")) == [True]
