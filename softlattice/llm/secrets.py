@@ -5,7 +5,8 @@ The base spans are those of three patterns.  The method adds spans of kind
 Authorization: Bearer x, --api-key x) is cut into words, dates, repeats,
 keyboard walks, sequences and brute-force spans so that the product of guesses
 is least (dynamic programming over prefixes); a value is a secret from 10^`digits`
-guesses on.  Values that a base span covers are not reported twice.
+guesses on.  Every credential word is tried, also one that an earlier word took for
+its value.  Values that a base span covers are not reported twice.
 
 Every text is scanned whole; null counts as empty and gives zero counts and the
 hash of the empty string.  Repeated rows give repeated results.
@@ -26,7 +27,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CONTEXT = re.compile(
-    r"""(?<![A-Za-z0-9])(?:password|passwd|passphrase|passcode|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|authorization|credentials?|bearer|login)"""
+    r"""(?<![A-Za-z0-9])(password|passwd|passphrase|passcode|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|authorization|credentials?|bearer|login)"""
     r"""["']?\x20{0,4}(?:[:=]{1,2}>?|\x20is\x20|\x20)\x20{0,4}(?:bearer\x20)?["'`]?([^\s"'`,;<>(){}]{8,256})""",
     re.IGNORECASE | re.ASCII,
 )
@@ -121,14 +122,17 @@ def find(text: str | None, digits: float = 10.0) -> list[tuple[int, int, str]]:
     out += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     low = text.lower()
     if any(x in low for x in _NEEDLES):
-        base = list(out)
-        for m in CONTEXT.finditer(text):
-            a, b = m.span(1)
-            value = text[a:b].rstrip(".:!?")
+        base, at = list(out), 0
+        while m := CONTEXT.search(text, at):
+            a, end = m.span(2)
+            value = text[a:end].rstrip(".:!?")
             b = a + len(value)
             shaped = sum((any(c.islower() for c in value), any(c.isupper() for c in value), any(c.isdigit() for c in value), any(not c.isalnum() for c in value))) >= 3 or any(c.isdigit() for c in value)
             if shaped and not any(s <= a and b <= e for s, e, _ in base) and guess_cost(value) >= digits:
                 out.append((a, b, "guess"))
+                at = b
+            else:  # the value may be, or hold, the word that introduces the secret
+                at = m.end(1)
     return sorted(set(out), key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 

@@ -1,6 +1,6 @@
 import pyarrow as pa
 
-from softlattice.llm import decontaminate
+from softlattice.llm import decontaminate, secrets
 
 
 def leaks(item, *docs):
@@ -22,3 +22,12 @@ def test_names_that_begin_a_sentence_are_slots():
     assert leaks(apples, apples.replace("Maria", "Anna").replace("12", "31").replace(" 3 ", " 8 "), "Anna has 4 dogs. Bob eats 3 pears. Lea buys 2 cups. How many dogs bark?") == [True, False]
     short = "Maria has 12 apples. Maria eats 3 apples. Maria buys 9 apples."
     assert leaks(short, short.replace("Maria", "Anna").replace("12", "31")) == [True]
+
+
+def secret(text):
+    return [text[a:b] for a, b, k in secrets.find(text) if k == "guess"]
+
+
+def test_a_credential_word_as_value_hides_nothing():
+    for text in ("the login password is {}", "login passphrase is {}", "secret passphrase = {}", "login credentials: {}"):
+        assert secret(text.format("qX7#pL9!vR2z")) == ["qX7#pL9!vR2z"]
