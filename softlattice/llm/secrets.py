@@ -6,7 +6,9 @@ Authorization: Bearer x, --api-key x) is cut into words, dates, repeats,
 keyboard walks, sequences and brute-force spans so that the product of guesses
 is least (dynamic programming over prefixes); a value is a secret from 10^`digits`
 guesses on.  Every credential word is tried, also one that an earlier word took for
-its value.  Values that a base span covers are not reported twice.
+its value.  After a mere space a value must also hold a digit or three classes of
+characters; after `:`, `=`, `is` or Bearer the guesses alone decide, so a plain
+word that WORDS lacks counts there by brute force.  Values that a base span covers are not reported twice.
 
 Every text is scanned whole; null counts as empty and gives zero counts and the
 hash of the empty string.  Repeated rows give repeated results.
@@ -28,7 +30,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CONTEXT = re.compile(
     r"""(?<![A-Za-z0-9])(password|passwd|passphrase|passcode|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|authorization|credentials?|bearer|login)"""
-    r"""["']?\x20{0,4}(?:[:=]{1,2}>?|\x20is\x20|\x20)\x20{0,4}(?:bearer\x20)?["'`]?([^\s"'`,;<>(){}]{8,256})""",
+    r"""["']?\x20{0,4}([:=]{1,2}>?|\x20is\x20|\x20)\x20{0,4}(bearer\x20)?["'`]?([^\s"'`,;<>(){}]{8,256})""",
     re.IGNORECASE | re.ASCII,
 )
 _NEEDLES = ("passw", "passp", "passc", "pwd", "secret", "token", "key", "auth", "credential", "bearer", "login")
@@ -124,10 +126,11 @@ def find(text: str | None, digits: float = 10.0) -> list[tuple[int, int, str]]:
     if any(x in low for x in _NEEDLES):
         base, at = list(out), 0
         while m := CONTEXT.search(text, at):
-            a, end = m.span(2)
+            a, end = m.span(4)
             value = text[a:end].rstrip(".:!?")
             b = a + len(value)
-            shaped = sum((any(c.islower() for c in value), any(c.isupper() for c in value), any(c.isdigit() for c in value), any(not c.isalnum() for c in value))) >= 3 or any(c.isdigit() for c in value)
+            told = m[2] != " " or m[3] or m[1].lower() == "bearer"
+            shaped = told or sum((any(c.islower() for c in value), any(c.isupper() for c in value), any(c.isdigit() for c in value), any(not c.isalnum() for c in value))) >= 3 or any(c.isdigit() for c in value)
             if shaped and not any(s <= a and b <= e for s, e, _ in base) and guess_cost(value) >= digits:
                 out.append((a, b, "guess"))
                 at = b

@@ -31,3 +31,9 @@ def secret(text):
 def test_a_credential_word_as_value_hides_nothing():
     for text in ("the login password is {}", "login passphrase is {}", "secret passphrase = {}", "login credentials: {}"):
         assert secret(text.format("qX7#pL9!vR2z")) == ["qX7#pL9!vR2z"]
+
+
+def test_guesses_decide_after_an_explicit_separator():
+    for text in ("pwd: kZqTrxWmPvLsJbNd", "passphrase: vexil-quorn-tabzik-flom", "pwd is kZqTrxWmPvLsJbNd", "Authorization: Bearer kZqTrxWmPvLsJbNd"):
+        assert secret(text) == [text.split(" ")[-1]]
+    assert secret("login instructions for everybody") == [] and secret("pwd: password") == []
