@@ -8,7 +8,8 @@ is least (dynamic programming over prefixes); a value is a secret from 10^`digit
 guesses on.  Every credential word is tried, also one that an earlier word took for
 its value.  After a mere space a value must also hold a digit or three classes of
 characters; after `:`, `=`, `is` or Bearer the guesses alone decide, so a plain
-word that WORDS lacks counts there by brute force.  Values that a base span covers are not reported twice.
+word that WORDS lacks counts there by brute force.  Values have no least or greatest
+length.  Values that a base span covers are not reported twice.
 
 Every text is scanned whole; null counts as empty and gives zero counts and the
 hash of the empty string.  Repeated rows give repeated results.
@@ -30,7 +31,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CONTEXT = re.compile(
     r"""(?<![A-Za-z0-9])(password|passwd|passphrase|passcode|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|authorization|credentials?|bearer|login)"""
-    r"""["']?\x20{0,4}([:=]{1,2}>?|\x20is\x20|\x20)\x20{0,4}(bearer\x20)?["'`]?([^\s"'`,;<>(){}]{8,256})""",
+    r"""["']?\x20{0,4}([:=]{1,2}>?|\x20is\x20|\x20)\x20{0,4}(bearer\x20)?["'`]?([^\s"'`,;<>(){}]+)""",
     re.IGNORECASE | re.ASCII,
 )
 _NEEDLES = ("passw", "passp", "passc", "pwd", "secret", "token", "key", "auth", "credential", "bearer", "login")
@@ -44,6 +45,8 @@ WORDS = (
     "database mysql postgres redis oracle system manager public private token key api pass word the and for you with this that house green blue black white "
     "orange apple coffee pepper ginger cookie tiger eagle lion horse michael jordan thomas charlie daniel jessica ashley"
 ).split()
+#: A value longer than this may be judged by its first so many characters.
+PIECE = 256
 _RANK = {w: i + 1 for i, w in enumerate(WORDS)}
 _LONGEST = max(map(len, WORDS))
 _LEET = str.maketrans("4@301!57$", "aaeoiists")
@@ -115,6 +118,11 @@ def guess_cost(text: str) -> float:
     return best[n]
 
 
+def is_costly(value: str, digits: float) -> bool:
+    """Whether guess_cost reaches `digits`; a cut through the cheapest segmentation saves less than a short span's brute cost."""
+    return (len(value) > PIECE and guess_cost(value[:PIECE]) >= digits + 2 * (_LONGEST + 12)) or guess_cost(value) >= digits
+
+
 def find(text: str | None, digits: float = 10.0) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all spans in order; start and end count code points."""
     if not text:
@@ -131,11 +139,11 @@ def find(text: str | None, digits: float = 10.0) -> list[tuple[int, int, str]]:
             b = a + len(value)
             told = m[2] != " " or m[3] or m[1].lower() == "bearer"
             shaped = told or sum((any(c.islower() for c in value), any(c.isupper() for c in value), any(c.isdigit() for c in value), any(not c.isalnum() for c in value))) >= 3 or any(c.isdigit() for c in value)
-            if shaped and not any(s <= a and b <= e for s, e, _ in base) and guess_cost(value) >= digits:
+            if shaped and not any(s <= a and b <= e for s, e, _ in base) and is_costly(value, digits):
                 out.append((a, b, "guess"))
                 at = b
             else:  # the value may be, or hold, the word that introduces the secret
-                at = m.end(1)
+                at = max(m.end(1), end - PIECE) if shaped else m.end(1)  # but who can guess a long value can guess what it holds
     return sorted(set(out), key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 

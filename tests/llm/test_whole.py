@@ -1,3 +1,5 @@
+import hashlib
+
 import pyarrow as pa
 
 from softlattice.llm import decontaminate, secrets
@@ -37,3 +39,10 @@ def test_guesses_decide_after_an_explicit_separator():
     for text in ("pwd: kZqTrxWmPvLsJbNd", "passphrase: vexil-quorn-tabzik-flom", "pwd is kZqTrxWmPvLsJbNd", "Authorization: Bearer kZqTrxWmPvLsJbNd"):
         assert secret(text) == [text.split(" ")[-1]]
     assert secret("login instructions for everybody") == [] and secret("pwd: password") == []
+
+
+def test_values_of_any_length():
+    jwt = "".join(hashlib.sha256(str(i).encode()).hexdigest().upper() for i in range(7))[:440]
+    assert secret(f"Authorization: Bearer {jwt} end") == [jwt]
+    assert secret("pwd is q#7Z!k and") == ["q#7Z!k"] and secret("pwd is abc") == [] and secret("pwd is ?") == []
+    assert secret("pwd: " + "a" * 3000) == [] and secret("pwd: " + "ab1" * 2000 + " login password is qX7#pL9!vR2z") == ["qX7#pL9!vR2z"]
