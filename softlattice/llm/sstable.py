@@ -193,7 +193,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.remember, self.known = remember, {}
 
     def _learn(self, new: list[str]) -> None:

@@ -1,8 +1,9 @@
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 
-from softlattice.llm import decontaminate, secrets
+from softlattice.llm import decontaminate, secrets, sstable
 
 
 def leaks(item, *docs):
@@ -46,3 +47,14 @@ def test_values_of_any_length():
     assert secret(f"Authorization: Bearer {jwt} end") == [jwt]
     assert secret("pwd is q#7Z!k and") == ["q#7Z!k"] and secret("pwd is abc") == [] and secret("pwd is ?") == []
     assert secret("pwd: " + "a" * 3000) == [] and secret("pwd: " + "ab1" * 2000 + " login password is qX7#pL9!vR2z") == ["qX7#pL9!vR2z"]
+
+
+def test_markers_are_the_plain_library_call():
+    from tokenizers import Tokenizer
+
+    path = sstable.default_tokenizer()
+    plain, mark = Tokenizer.from_file(path), "<|endoftext|>"
+    texts = [f"a {mark} b", mark, f"{mark} b", f"a  {mark}  b", f"one.{mark}two, {mark}. {mark}{mark}", f"x{mark}3.5!{mark}'s", f"\n{mark}\n a {mark}", f"<|endof text|> {mark.upper()} |>{mark}"]
+    assert plain.encode(texts[0], add_special_tokens=False).ids.count(50256) == 1
+    for t, ids in zip(texts, sstable.Encoder(path)(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == [*plain.encode(t, add_special_tokens=False).ids, 2], t
