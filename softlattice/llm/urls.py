@@ -3,7 +3,10 @@
 Features of a URL: length, path depth, digit ratio, entropy of the host's
 characters, parameter count, labels and hyphens of the host, host length,
 fragment, and the smoothed block rate of its suffix and of its suffix with the
-first path segment, from the labelled rows.  A labelled table can be given; the
+first path segment (its section), exact over all labelled rows; the trees are
+fitted on all of them, with rates that leave out the fifth of the URLs that the
+row's own belongs to, so a rare section does not give its label away.  The rates
+are a table that is joined, of any size.  A labelled table can be given; the
 default labels every page's URL, 1 where a part of the host (between dots and
 hyphens) is one of SPAM, else 0: the rules are policy on languages and say
 nothing of how a bad URL looks.  Trees are grown level by level
@@ -34,7 +37,7 @@ SPAM = (
 ).split()
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FEATURES = ("length", "depth", "digits", "entropy", "params", "labels", "hyphens", "host_length", "fragment", "suffix_rate", "section_rate")
-BINS, SUFFIX_BUCKETS = 16, 256
+BINS, FOLDS = 16, 5
 
 
 def parsed(pages: DataFrame) -> DataFrame:
@@ -60,35 +63,39 @@ def _entropy(text: str) -> F.Column:
 
 
 def lexical(rows: DataFrame) -> DataFrame:
-    """Adds the features that need no statistics, and the suffix buckets."""
+    """Adds the features that need no statistics, the suffix and the section."""
     many = lambda col, c: (F.length(col) - F.length(F.replace(F.col(col), F.lit(c)))).cast("double")
     digits = F.length(F.regexp_replace("url", r"[^0-9]", "")) / F.greatest(F.length("url"), F.lit(1))
     suffix = F.substring_index("host", ".", -1)
     section = F.concat(suffix, F.lit("/"), F.regexp_extract("path", r"^/([^/]*)", 1))
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(SUFFIX_BUCKETS)).cast("int")
     return rows.withColumns({
         "length": F.length("url").cast("double"), "depth": many("path", "/"), "digits": digits.cast("double"), "entropy": _entropy("host"), "params": many("url", "=") + many("url", "&"),
         "labels": many("host", "."), "hyphens": many("host", "-"), "host_length": F.length("host").cast("double"), "fragment": F.contains("url", F.lit("#")).cast("double"),
-        "suffix": bucket(suffix), "section": bucket(section),
+        "suffix": suffix, "section": section,
     })
 
 
-def _rates(labelled: DataFrame, by: str) -> tuple[dict[int, float], float]:
-    """Smoothed block rate of each bucket (SUFFIX_BUCKETS at most), and the rate of all."""
-    rows = labelled.groupBy(by).agg(F.count("*"), F.sum("y")).collect()
-    n, pos = sum(r[1] for r in rows), sum(r[2] for r in rows)
-    mean = (pos + 0.5) / (n + 1)
-    return {r[0]: (r[2] + 4 * mean) / (r[1] + 4) for r in rows}, mean
+def _fold() -> F.Column:
+    return F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int")
 
 
-def _lookup(col: str, rates: dict[int, float], mean: float) -> F.Column:
-    table = F.array(*[F.lit(rates.get(i, mean)) for i in range(SUFFIX_BUCKETS)])
-    return F.element_at(table, F.col(col) + 1)
+def _rates(counts: DataFrame, by: str, mean: float, folds: bool) -> DataFrame:
+    """Smoothed block rate of each value of `by`; with folds, of each value and fold from the rows of the others."""
+    rate = lambda n, pos: ((pos + 4 * mean) / (n + 4)).alias(f"{by}_rate")
+    total = counts.groupBy(by).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    if not folds:
+        return total.select(by, rate(F.col("n"), F.col("pos")))
+    own = counts.groupBy(by, "fold").agg(F.sum("n").alias("own_n"), F.sum("pos").alias("own_pos"))
+    return own.join(total, by).select(by, "fold", rate(F.col("n") - F.col("own_n"), F.col("pos") - F.col("own_pos")))
 
 
-def _with_rates(rows: DataFrame, stats) -> DataFrame:
-    (a, am), (b, bm) = stats
-    return rows.withColumns({"suffix_rate": _lookup("suffix", a, am), "section_rate": _lookup("section", b, bm)})
+def _with_rates(rows: DataFrame, stats, folds: bool = False) -> DataFrame:
+    counts, mean = stats
+    if folds:
+        rows = rows.withColumn("fold", _fold())
+    for by in ("suffix", "section"):
+        rows = rows.join(_rates(counts, by, mean, folds), [by, "fold"] if folds else by, "left")
+    return rows.withColumns({f"{by}_rate": F.coalesce(f"{by}_rate", F.lit(mean)) for by in ("suffix", "section")})
 
 
 def _tree(node, names) -> F.Column:
@@ -111,16 +118,17 @@ class Boosted:
         return total
 
 
-def fit(labelled: DataFrame, trees: int = 6, depth: int = 3, rate: float = 0.5, ridge: float = 1.0, max_rows: int = 200_000) -> Boosted | None:
-    """Boosting with the logistic loss on (features, y); of more than `max_rows` labelled rows, those of least hash of the url."""
+def fit(labelled: DataFrame, trees: int = 6, depth: int = 3, rate: float = 0.5, ridge: float = 1.0) -> Boosted | None:
+    """Boosting with the logistic loss on (features, y) of all labelled rows."""
     spark = labelled.sparkSession
     ws = Workspace(spark, "urls")
-    rows = ws.save(lexical(labelled).orderBy(F.xxhash64("url"), "url", "page_id").limit(max_rows), "labelled")
-    n, pos = rows.agg(F.count("*"), F.sum("y")).first()
+    rows = lexical(labelled)
+    counts = ws.save(rows.groupBy("suffix", "section", _fold().alias("fold")).agg(F.count("*").alias("n"), F.sum("y").alias("pos")), "sections")
+    n, pos = counts.agg(F.sum("n"), F.sum("pos")).first()
     if not n:
         return None
-    stats = (_rates(rows, "suffix"), _rates(rows, "section"))
-    rows = _with_rates(rows, stats)
+    stats = (counts, (pos + 0.5) / (n + 1))
+    rows = _with_rates(rows, stats, folds=True)
     cuts = rows.agg(*[F.percentile_approx(f, [k / BINS for k in range(1, BINS)], 2000).alias(f) for f in FEATURES]).first()
     cuts = {f: sorted(set(cuts[f])) for f in FEATURES}
     binned = {f: sum((F.when(F.col(f) > c, 1).otherwise(0) for c in cuts[f]), F.lit(0)).alias(f) for f in FEATURES}

@@ -3,7 +3,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 
-from softlattice.llm import decontaminate, secrets, sstable
+from softlattice.llm import decontaminate, secrets, sstable, urls
 
 
 def leaks(item, *docs):
@@ -58,3 +58,23 @@ def test_markers_are_the_plain_library_call():
     assert plain.encode(texts[0], add_special_tokens=False).ids.count(50256) == 1
     for t, ids in zip(texts, sstable.Encoder(path)(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == [*plain.encode(t, add_special_tokens=False).ids, 2], t
+
+
+def test_url_rates_are_exact_for_every_section(spark):
+    urls_ = [f"http://h.t{k % 300}/s{k % 900}/{i}" for i in range(4) for k in range(900)]
+    pages = spark.createDataFrame([(i, u, int(i % 900 % 3 == 0)) for i, u in enumerate(urls_)], "page_id long, url string, y int")
+    rows = urls.lexical(urls.parsed(pages).join(pages.select("page_id", "y"), "page_id"))
+    model = urls.fit(rows.select("page_id", "url", "host", "path", "y"))
+    mean = (1200 + 0.5) / (3600 + 1)
+    got = {r.page_id: (r.suffix_rate, r.section_rate) for r in urls._with_rates(rows, model.stats).collect()}
+    for i in range(3600):
+        # Every 300th, 600th and 900th number has the same rest by 3, so a suffix is all bad or all good.
+        bad = i % 900 % 3 == 0
+        assert np.allclose(got[i], ((12 * bad + 4 * mean) / 16, (4 * bad + 4 * mean) / 8)), i
+
+
+def test_url_rates_do_not_give_single_rows_away(spark):
+    pages = spark.createDataFrame([(i, f"http://h.com/s{i}/x", i % 2) for i in range(400)], "page_id long, url string, y int")
+    rows = urls.lexical(urls.parsed(pages).join(pages.select("page_id", "y"), "page_id"))
+    model = urls.fit(rows.select("page_id", "url", "host", "path", "y"))
+    assert {r.section_rate for r in urls._with_rates(rows, model.stats, folds=True).collect()} == {model.stats[1]}
