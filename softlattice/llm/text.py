@@ -34,17 +34,19 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _VALUE = splitmix(np.arange(1, 257, dtype=np.uint64))
 _COEF = splitmix(np.arange(1000, 1064, dtype=np.uint64)) | np.uint64(1)
-_powers: dict[str, np.ndarray] = {}
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers["up"]) < n:
-        size = max(n, CHUNK + 1)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            p = np.full(size, base, dtype=np.uint64)
+def _power(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers up and down of the seed's base."""
+    if seed not in _powers or len(_powers[seed][0]) < n:
+        size, base, out = max(n, CHUNK + 1), _BASE + 2 * seed * 0x51ED270B, []
+        for b in (base, pow(base, -1, 1 << 64)):
+            p = np.full(size, b, dtype=np.uint64)
             p[0] = 1
-            _powers[name] = np.multiply.accumulate(p)
-    return _powers["up"], _powers["down"]
+            out.append(np.multiply.accumulate(p))
+        _powers[seed] = (out[0], out[1])
+    return _powers[seed]
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -84,17 +86,19 @@ def word_bounds(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return start, end, np.searchsorted(start, offs)
 
 
-def span_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of the lower-cased bytes of each span; spans ascend and do not overlap."""
+def span_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool = True, seed: int = 0) -> np.ndarray:
+    """Hash of the (lower-cased, if fold) bytes of each span; spans ascend and do not overlap."""
+    value = np.roll(_VALUE, 7 * seed) ^ np.uint64(seed)
+    value = value[_LOWER] if fold else value
     out = np.zeros(len(start), np.uint64)
     i = 0
     while i < len(start):
         low = int(start[i])
         j = max(i + 1, int(np.searchsorted(end, low + CHUNK, side="right")))
         high = int(end[j - 1])
-        up, down = _power(high - low + 1)
+        up, down = _power(high - low + 1, seed)
         total = np.zeros(high - low + 1, np.uint64)
-        np.cumsum(_VALUE[_LOWER[raw[low:high]]] * up[: high - low], out=total[1:])
+        np.cumsum(value[raw[low:high]] * up[: high - low], out=total[1:])
         s, e = start[i:j] - low, np.maximum(end[i:j], start[i:j]) - low
         out[i:j] = splitmix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
         i = j
