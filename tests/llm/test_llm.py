@@ -20,7 +20,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def frame(spark, rows):
-    return spark.createDataFrame([(i, t, "en", f"src{i % 3}" if i % 5 else None, len(t or "")) for i, t in rows], DOCS)
+    return spark.createDataFrame([(i, t, "en", f"src{(i or 0) % 3}" if (i or 0) % 5 else None, len(t or "")) for i, t in rows], DOCS)
 
 
 def odd(spark):
@@ -86,12 +86,13 @@ def near_rows(seed=3):
     return rows
 
 
-@pytest.mark.parametrize("small", [32, 4])
-def test_minhash_is_brute_force(spark, small):
+@pytest.mark.parametrize("small,exact,block", [(32, False, 128), (4, True, 8)])
+def test_minhash_is_brute_force(spark, small, exact, block, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", block)
     rows = near_rows()
     sets = brute_sets(rows)
     want = brute_components(sets)
-    got = {r.doc_id: r for r in minhash.near_duplicates(frame(spark, rows), small=small).collect()}
+    got = {r.doc_id: r for r in minhash.near_duplicates(frame(spark, rows), small=small, exact=exact).collect()}
     assert {i: got[i].component_id for i in sets} == want
     assert all(got[i].n_shingles == len(s) and got[i].kept == (want[i] == i) for i, s in sets.items())
 
@@ -109,7 +110,16 @@ def test_minhash_odd(spark):
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(odd(spark)).collect()}
     assert got == {1: (0, 1, True), 2: (0, 2, True), 3: (1, 3, True), 4: (1, 4, True), 5: (3, 5, True), 6: (0, 6, True)}
     assert minhash.near_duplicates(odd(spark).limit(0)).count() == 0
-    assert minhash.keep_one(odd(spark)).columns == odd(spark).columns
+    kept = minhash.keep_one(odd(spark))
+    assert kept.columns == odd(spark).columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, 5, 6]
+
+
+def test_minhash_without_doc_id(spark):
+    text = "one two three four five six seven"
+    docs = frame(spark, [(None, text), (3, text), (2, text), (None, None), (9, None), (9, "other words")])
+    rows = sorted((r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect())
+    assert sorted(rows, key=str) == sorted([(0, 3, None, True), (0, 0, None, True), (2, 3, 2, True), (3, 3, 2, False), (9, 0, 9, True), (9, 1, 9, True)], key=str)
+    assert sorted(str(r.doc_id) for r in minhash.keep_one(docs).collect()) == ["2", "9", "None", "None"]
 
 
 ITEM = "A train leaves the old station at 40 km every hour and reaches Boston after 3 hours on a rainy day in winter so how far away was it at first"
@@ -171,22 +181,31 @@ def test_mixing_odd(spark):
 
 
 def test_sstable_round_trip(spark):
-    enc = sstable.encoder(sstable.default_tokenizer())
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(sstable.default_tokenizer())
     rows = [(i * 7 - 50, t) for i, t in enumerate(["", None, "Hello, world. It's 3.5!", "a  b\n\n c", "<|endoftext|>", "日本語 text", *(f"doc {i} " * i for i in range(40))])]
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in sstable.read(sstable.write(frame(spark, rows), sstable.default_tokenizer(), shard_ids=500)).collect()}
     at = 0
     for i, t in sorted(rows, key=lambda r: r[0]):
-        ids = np.array([*enc.tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        ids = np.array([*plain.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
         assert got[i] == (at, len(ids), zlib.crc32(ids.tobytes())), (i, t)
         at += len(ids)
     w = sstable.ShardWriter()
     for i in range(-5, 3000, 5):
-        w.add(i, np.array([i + 5, 70_000 if i % 2 else 3], "<u4").tobytes())
+        w.add(i, np.array([i + 5, 70_000 if i % 2 else 3], np.uint32))
     r = sstable.ShardReader(data := w.finish())
     assert r.get(1000).tolist() == [1005, 3] and r.get(15).tolist() == [20, 70_000] and r.get(1) is None and r.n == 601 and len(list(r.scan())) == 601
     with pytest.raises(ValueError):
         sstable.ShardReader(data[:-1])
-    assert sstable.read(sstable.write(odd(spark), sstable.default_tokenizer())).count() == 7
+    w.add(None, np.array([8], np.uint32))
+    w.add(None, np.array([9], np.uint32))
+    r = sstable.ShardReader(w.finish())
+    assert r.get(None).tolist() == [8] and r.get(0).tolist() == [5, 3] and [d for d, _, _ in r.scan()][-3:] == [2995, None, None]
+    got = sstable.read(sstable.write(odd(spark).union(odd(spark).selectExpr("cast(null as long) as doc_id", *odd(spark).columns[1:])), sstable.default_tokenizer())).collect()
+    ends = sorted((r.start, r.start + r.n_tokens, r.doc_id) for r in got)
+    assert len(got) == 14 and [d for _, _, d in ends] == [1, 2, 3, 4, 5, 5, 6] + [None] * 7
+    assert ends[0][0] == 0 and all(a[1] == b[0] for a, b in zip(ends, ends[1:]))
     assert sstable.read(sstable.write(odd(spark).limit(0), sstable.default_tokenizer())).count() == 0
 
 

@@ -56,8 +56,25 @@ def test_markers_are_the_plain_library_call():
     plain, mark = Tokenizer.from_file(path), "<|endoftext|>"
     texts = [f"a {mark} b", mark, f"{mark} b", f"a  {mark}  b", f"one.{mark}two, {mark}. {mark}{mark}", f"x{mark}3.5!{mark}'s", f"\n{mark}\n a {mark}", f"<|endof text|> {mark.upper()} |>{mark}"]
     assert plain.encode(texts[0], add_special_tokens=False).ids.count(50256) == 1
-    for t, ids in zip(texts, sstable.Encoder(path)(texts), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == [*plain.encode(t, add_special_tokens=False).ids, 2], t
+    same_ids(plain, sstable.Encoder(path), texts)
+
+
+def same_ids(plain, encoder, texts):
+    ids, at = encoder(texts)
+    for i, t in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tolist() == [*plain.encode(t, add_special_tokens=False).ids, 2], t
+
+
+def test_ids_of_any_text_are_the_plain_library_call():
+    from tokenizers import Tokenizer
+
+    path, rng = sstable.default_tokenizer(), np.random.default_rng(5)
+    plain, encoder = Tokenizer.from_file(path), sstable.Encoder(path, remember=300)
+    parts = [" ", "  ", "\n", "\t", "a", "b", "Word", "\u00e9", "\u00a0", "\u3000", "\u2003", "\x85", "\u65e5\u672c", "\u0441\u043a", "\u044a", "\u0440", ".", ",", "!", "'s", "'", "3", "3.5", "<|endoftext|>"]
+    parts += ["\U0001f600", "\x1c", "\x1f", "\u200b", "_", "-", "\u00df", "\u0130", "\u2028", "\u00e0", "\u00c2", "\u00e2\u20ac", "\x0b", "$$$", "|"]
+    texts = ["".join(parts[k] for k in rng.integers(0, len(parts), rng.integers(0, 14))) for _ in range(4000)]
+    for i in range(0, 4000, 100):
+        same_ids(plain, encoder, texts[i : i + 100])
 
 
 def test_url_rates_are_exact_for_every_section(spark):
