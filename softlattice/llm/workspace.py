@@ -1,8 +1,8 @@
 """Intermediate tables in the folder that driver and executors share.
 
 A written table cuts lineage and survives the loss of any executor.  The folder
-is ``spark.checkpoint.dir``; only where that is unset (tests) a folder of our
-own is set.  Everything written is removed when the driver's Python ends;
+is ``spark.checkpoint.dir``; where that is unset, a folder of our own is set in
+local mode (tests), and on a cluster an error is raised.  Everything written is removed when the driver's Python ends;
 tables that only one operator reads are dropped as soon as it has read them.
 """
 
@@ -12,11 +12,13 @@ import atexit
 import contextlib
 import ctypes
 import gc
+import math
 import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LEFT: list[tuple[object, str]] = []
 
@@ -26,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="softlattice-")
         spark.sparkContext.setCheckpointDir(root)
     return root if "://" in root or root.startswith("file:") else "file://" + root
@@ -62,6 +66,21 @@ class Workspace:
             _delete(self.spark, f"{self.path}/{name}")
 
 
+def least(df: DataFrame, key: str, k: int, *more: str) -> DataFrame:
+    """The k rows of least hash of `key` (ties by key and `more`), the same ones however df is partitioned.
+
+    A bound on the hash that some more than k rows are expected to meet spares
+    each partition from sending k rows of its own; where it lets too few pass
+    (keys that repeat much), all rows are asked.
+    """
+    h, n = F.xxhash64(key), df.count()
+    wanted = k + 6 * math.sqrt(k) + 16
+    if n > 2 * wanted:
+        some = df.where(h <= int(wanted / n * 2.0**64) - (1 << 63))
+        df = some if some.count() >= k else df
+    return df.orderBy(h, key, *more).limit(k)
+
+
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Whole texts can be long: keep Arrow batches short so that a Python worker holds few of them."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
