@@ -8,18 +8,24 @@ templates with three literal tokens at least, as the same where capitals that
 begin a sentence are names, where four or more capitals in a row are none, and
 as the plain words.  Items of under five words are joined whole, word by word.
 A hit fixes an alignment of document and item; along it the whole item is
-compared, and slots must be consistent: one slot value of the item always
-stands for the same value in the document.  A document is contaminated by an
-item when `coverage` of the item's tokens match in an alignment or in its runs
+compared, and slots must be consistent: values of the item and values of the
+document stand for each other one to one.  An alignment whose slots are not is
+rejected as a template, and only words that are the same count in it, in runs of
+`run`.  A document is contaminated by an item when `coverage` of the item's tokens match in an alignment or in its runs
 of five, or `run` tokens in a row (eight of them literal, or all the same).  So
 re-parameterised copies (other numbers, names, units) are caught, and chance
 windows are not.
 
-The benchmark is taken in blocks of `block` items; each block, of bounded size,
-is broadcast to one scan of the documents, so a benchmark of any size works and
-no text is shuffled.  Null or empty texts are clean; null items and items without a word match
-nothing.  A short item is found wherever its words stand, so an item of one
-common word contaminates every document that has the word.
+The benchmark is taken in blocks of `block` items and `BLOCK_BYTES` of text (one
+item may exceed it); each block is broadcast, and all blocks are asked in one scan
+of the documents, so a benchmark of any size works and no text is shuffled.
+Texts are whole; however long and repetitive, their hits are held `HITS` at a
+time.  Null or empty texts are clean, and without a benchmark all are; null items
+and items without a word match nothing.  A short item is found wherever its words
+stand, so an item of one common word contaminates every document that has the
+word.  Every row is judged by itself: repeated rows, and rows without a doc_id,
+get each their own result.  Other columns are passed on by `decontaminate`,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -28,14 +34,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .text import span_hash, splitmix, window_hash, word_bounds, utf8
-from .workspace import Workspace, small_batches
+from .workspace import small_batches
 
 W = 5
+BLOCK_BYTES = 16 << 20
+HITS = 1 << 20
 LITERAL, NUMBER, NAME, UNIT = 0, 1, 2, 3
 #: Beside these, flags of a word: a capital that its place may explain, one of four capitals or more in a row, one of a text of capitals.
 KIND, MAYBE, CAPITALS, TITLE = 3, 4, 8, 16
@@ -183,18 +190,49 @@ def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True))
 
 
-def _consistent(mask: np.ndarray, kind: np.ndarray, item: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """The mask without slots whose item value stands for more than one document value."""
-    slots = np.flatnonzero(mask & (kind != LITERAL))
-    seen: dict[tuple[int, int], int] = {}
-    out = mask.copy()
-    for p in slots:
-        if seen.setdefault((int(kind[p]), int(item[p])), int(doc[p])) != int(doc[p]):
-            out[p] = False
+def _one_to_one(at: np.ndarray, kind: np.ndarray, item: np.ndarray, doc: np.ndarray) -> bool:
+    """Whether the slots among these positions map the item's values to the document's one to one."""
+    at = np.flatnonzero(at & (kind != LITERAL))
+    of = lambda *values: len(set(zip(kind[at].tolist(), *(v[at].tolist() for v in values), strict=True)))
+    return of(item, doc) == of(item) == of(doc)
+
+
+def _diagonals(index: Index, pos: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Distinct (item, document position less item position) of all windows that meet, sorted."""
+    lo, hi = np.searchsorted(index.hashes, hashes), np.searchsorted(index.hashes, hashes, side="right")
+    hit = np.flatnonzero(hi > lo)
+    pos, lo, many = pos[hit], lo[hit], (hi - lo)[hit]
+    upto = np.cumsum(many)
+    out = np.zeros((0, 2), np.int64)
+    for first in range(0, int(upto[-1]) if len(upto) else 0, HITS):
+        nth = np.arange(first, min(first + HITS, int(upto[-1])))
+        row = np.searchsorted(upto, nth, side="right")
+        k = lo[row] + nth - (upto[row] - many[row])
+        out = np.unique(np.concatenate([out, np.stack([index.item[k], pos[row] - index.at[k]], 1)]), axis=0)
     return out
 
 
-def judge(index: Index, template: np.ndarray, plain: np.ndarray, kind: np.ndarray, coverage: float, run: int) -> list[tuple[int, float, int]]:
+def _aligned(words: tuple, doc: tuple, d: int) -> tuple[np.ndarray, float, int]:
+    """Of one alignment: the item's tokens in runs that count, the share of its tokens that match, and the longest run."""
+    (ip, ik, slot), (plain, slots) = words, doc
+    a, b, n = max(0, -d), min(len(ip), len(plain) - d), len(ip)
+    mask, same, there, inside = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, np.uint64), np.zeros(n, bool)
+    there[a:b] = plain[a + d : b + d]
+    same[a:b] = ip[a:b] == there[a:b]
+    mask[a:b] = same[a:b] | ((slot[a:b] != LITERAL) & (slot[a:b] == slots[a + d : b + d]))
+    runs = [(x, y) for x, y in _runs(mask) if y - x >= min(W, n)]
+    for x, y in runs:
+        inside[x:y] = True
+    longest = max((int(y - x) for x, y in _runs(same) if y - x >= min(W, n)), default=0)
+    if not _one_to_one(inside, slot, ip, there):
+        return np.zeros(n, bool), 0.0, longest
+    if not _one_to_one(mask, slot, ip, there):
+        mask = inside | same
+    longest = max([longest, *(int(y - x) for x, y in runs if ((ik[x:y] & KIND) == LITERAL).sum() >= min(8, n))])
+    return inside, float(mask.mean()), longest
+
+
+def judge(index: Index, template: np.ndarray, plain: np.ndarray, kind: np.ndarray, coverage: float = 0.6, run: int = 13) -> list[tuple[int, float, int]]:
     """(item_id, share of its tokens found, longest run) of every item that contaminates the document."""
     if index.hashes is None:
         return []
@@ -202,35 +240,20 @@ def judge(index: Index, template: np.ndarray, plain: np.ndarray, kind: np.ndarra
     for n in index.short:
         if len(plain) >= n:
             pos, hashes = np.concatenate([pos, np.arange(len(plain) - n + 1)]), np.concatenate([hashes, window_hash(plain, n)])
-    if not len(pos):
+    pairs = _diagonals(index, pos, hashes)
+    if not len(pairs):
         return []
-    lo = np.searchsorted(index.hashes, hashes)
-    hit = np.flatnonzero(index.hashes[np.minimum(lo, len(index.hashes) - 1)] == hashes)
-    if not len(hit):
-        return []
-    lo, hi = lo[hit], np.searchsorted(index.hashes, hashes[hit], side="right")
-    many = hi - lo
-    src = np.repeat(pos[hit], many)
-    k = np.repeat(lo - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-    pairs = np.unique(np.stack([index.item[k], src - index.at[k]], 1), axis=0)  # item, diagonal
     out, slots = [], _slots(kind)
-    for i in np.unique(pairs[:, 0]):
-        item_id, ip, ik, slot = index.items[i]
-        found, longest, share = np.zeros(len(ip), bool), 0, 0.0
-        for d in pairs[pairs[:, 0] == i, 1]:
-            a, b = max(0, -d), min(len(ip), len(plain) - d)
-            mask, same, there = np.zeros(len(ip), bool), np.zeros(len(ip), bool), np.zeros(len(ip), np.uint64)
-            there[a:b] = plain[a + d : b + d]
-            same[a:b] = ip[a:b] == there[a:b]
-            mask[a:b] = same[a:b] | ((slot[a:b] != LITERAL) & (slot[a:b] == slots[a + d : b + d]))
-            mask = _consistent(mask, slot, ip, there)
-            share = max(share, float(mask.mean()))
-            for x, y in _runs(mask):
-                if y - x >= min(W, len(ip)):
-                    found[x:y] = True
-                    if ((ik[x:y] & KIND) == LITERAL).sum() >= min(8, len(ip)):
-                        longest = max(longest, int(y - x))
-            longest = max([longest, *(int(y - x) for x, y in _runs(same) if y - x >= min(W, len(ip)))])
+    items, first = np.unique(pairs[:, 0], return_index=True)
+    for i, x, y in zip(items, first, [*first[1:], len(pairs)], strict=True):
+        item_id, *words = index.items[i]
+        found, longest, share = np.zeros(len(words[0]), bool), 0, 0.0
+        for d in pairs[x:y, 1]:
+            inside, part, length = _aligned(words, (plain, slots), int(d))
+            found |= inside
+            share, longest = max(share, part), max(longest, length)
+            if share == 1.0 and longest == len(found):
+                break
         share = max(share, float(found.mean()))
         if share >= coverage or longest >= run:
             out.append((item_id, share, longest))
@@ -238,40 +261,46 @@ def judge(index: Index, template: np.ndarray, plain: np.ndarray, kind: np.ndarra
 
 
 def _blocks(benchmark: DataFrame, block: int):
-    rows: list[tuple[int, str | None]] = []
-    for r in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
-        rows.append((r[0], r[1]))
-        if len(rows) == block:
+    rows, size = [], 0
+    for item_id, text in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
+        if rows and (len(rows) == block or size + len(text) > BLOCK_BYTES):
             yield rows
-            rows = []
+            rows, size = [], 0
+        rows.append((item_id, text))
+        size += len(text)
     if rows:
         yield rows
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.6, run: int = 13, block: int = 20_000) -> DataFrame:
-    """(doc_id, item_id, coverage, longest) of every document and item that contaminates it."""
+_FOUND = "array<struct<item_id:long,coverage:double,longest:int>>"
+_FOUND_TYPE = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64()), ("longest", pa.int32())]))
+
+
+def assess(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.6, run: int = 13, block: int = 20_000) -> DataFrame:
+    """doc_id and found, a list of (item_id, coverage, longest) of the items that contaminate the row, of every row."""
     spark = docs.sparkSession
     small_batches(spark)
-    out = spark.createDataFrame([], "doc_id long, item_id long, coverage double, longest int")
+    out = docs.select("doc_id", "text", F.array().cast(_FOUND).alias("found"))
     for rows in _blocks(benchmark, block):
         shared = spark.sparkContext.broadcast(build_index(rows))
-        out = out.union(docs.select("doc_id", "text").mapInArrow(_finder(shared, coverage, run), out.schema))
-    return out
 
+        def find(batches, shared=shared):
+            index = shared.value
+            for batch in batches:
+                t = tokens(batch.column("text"))
+                more = [judge(index, t.template[a:b], t.plain[a:b], t.kind[a:b], coverage, run) for a, b in zip(t.doc[:-1], t.doc[1:], strict=True)]
+                found = batch.column("found").to_pylist()
+                for had, new in zip(found, more, strict=True):
+                    had += [{"item_id": i, "coverage": share, "longest": longest} for i, share, longest in new]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(found, _FOUND_TYPE)], names=["doc_id", "text", "found"])
 
-def _finder(shared, coverage: float, run: int):
-    def find(batches):
-        index = shared.value
-        for batch in batches:
-            t = tokens(batch.column("text"))
-            found = []
-            for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
-                lo, hi = t.doc[i], t.doc[i + 1]
-                found += [(doc_id, *x) for x in judge(index, t.template[lo:hi], t.plain[lo:hi], t.kind[lo:hi], coverage, run)]
-            cols = list(zip(*found, strict=True)) if found else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int32()), strict=True)], names=["doc_id", "item_id", "coverage", "longest"])
+        out = out.mapInArrow(find, f"doc_id long, text string, found {_FOUND}")
+    return out.select("doc_id", "found")
 
-    return find
+
+def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.6, run: int = 13, block: int = 20_000) -> DataFrame:
+    """(doc_id, item_id, coverage, longest) of every row and item that contaminates it."""
+    return assess(docs, benchmark, coverage, run, block).select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.*")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.6, run: int = 13, block: int = 20_000) -> DataFrame:
@@ -294,7 +323,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.6,
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, contaminated, items (ids of the benchmark items found, ascending), coverage (the best share)."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = Workspace(spark, "leaks").save(matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "found")
-    by = found.groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.max("coverage").alias("coverage"))
-    return docs.select("doc_id").join(by, "doc_id", "left").select("doc_id", F.col("items").isNotNull().alias("contaminated"), "items", "coverage")
+    found = assess(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    items = F.when(F.size("found") > 0, F.array_distinct(F.sort_array(F.col("found.item_id"))))
+    return found.select("doc_id", (F.size("found") > 0).alias("contaminated"), items.alias("items"), F.array_max("found.coverage").alias("coverage"))

@@ -139,10 +139,24 @@ def test_decontaminate(spark):
 
 
 def test_slots_must_be_consistent():
-    index = decontaminate.build_index([(1, "take 5 red apples and give 5 green ones to each of 5 friends in the room")])
-    t = decontaminate.tokens(pa.array(["take 7 red apples and give 7 green ones to each of 7 friends in the room", "take 7 red apples and give 8 green ones to each of 9 friends in the room"]))
-    a, b = (decontaminate.judge(index, t.template[x:y], t.plain[x:y], t.kind[x:y], 0.95, 99) for x, y in zip(t.doc[:-1], t.doc[1:]))
-    assert a and not b
+    item = "take 5 red apples and give 5 green ones to each of 5 friends in the room after 6 days"
+    index = decontaminate.build_index([(1, item)])
+    other = lambda *n: item.replace("5", "{}").replace("6", "{}").format(*n)
+    docs = [item, other(7, 7, 7, 8), other(7, 8, 9, 6), other(7, 7, 8, 6), other(7, 7, 7, 7), "x " + item[:60] + " y"]
+    t = decontaminate.tokens(pa.array(docs))
+    got = [bool(decontaminate.judge(index, t.template[x:y], t.plain[x:y], t.kind[x:y])) for x, y in zip(t.doc[:-1], t.doc[1:])]
+    assert got == [True, True, False, False, False, True]
+
+
+def test_decontaminate_odd(spark):
+    bench = spark.createDataFrame([(7, ITEM), (8, None), (8, ""), (7, ITEM), (9, "word word word word word word")], "item_id long, text string")
+    docs = frame(spark, [(None, ITEM), (None, "clean"), (2, ITEM), (2, "clean"), (2, ITEM), (3, None), (4, "word " * 4000)])
+    names = {"found": F.lit("x"), "item_id": F.lit(0), "coverage": F.lit(None).cast("double")}
+    got = Counter((r.doc_id, len(r.found)) for r in decontaminate.assess(docs.withColumns(names), bench, block=2).collect())
+    assert got == {(None, 2): 1, (None, 0): 1, (2, 2): 2, (2, 0): 1, (3, 0): 1, (4, 1): 1}
+    assert decontaminate.assess(docs.limit(0), bench).count() == 0 and decontaminate.assess(docs, bench.limit(0)).count() == 7
+    kept = decontaminate.decontaminate(docs.withColumns(names), bench)
+    assert kept.columns == [*docs.columns, *names] and Counter(r.doc_id for r in kept.collect()) == {None: 1, 2: 1, 3: 1}
 
 
 def test_mixing_meets_targets(spark):
