@@ -1,38 +1,54 @@
 """Mixing sources to target weights by entropy balancing.
 
-The mix keeps document rates r_d closest, in word-weighted relative entropy, to
-1 while each source's words meet its target:
-
-    minimise  sum size_d (r_d ln r_d - r_d + 1)   s.t.  sum_{d in s} size_d r_d = T_s
-
-The convex dual, sum_s [S_s exp(l_s) - l_s T_s], is separable, its gradient and
-Hessian are sums over documents, so Newton's iterations run on per-source sums
-that one partial aggregation of all documents gives.  Rates are the exponential
-tilt exp(l_s).  Rounding: every document has floor(r) copies; the source's words
-still due go, in the order of md5(doc_id), to whole further copies, and what is
-left at the boundary is a part of one document.  That boundary is found from
-(source, hash cell) sums, so no text and no document list is sorted or moved:
-only the rows of one cell a source are put in order.
+The mix keeps document rates r_d closest, in relative entropy, to 1 while each
+source's words meet its target and no document is taken more than CAP times:
+
+    minimise  sum r_d ln r_d - r_d + 1   s.t.  sum_{d in s} size_d r_d = T_s,  r_d <= CAP
+
+The solution is the exponential tilt r_d = min(CAP, exp(l_s size_d)), and l_s
+maximises the concave dual, whose slope is T_s - sum size_d r_d.  Documents of a
+source that have one size share a rate, so the dual is summed over the table of
+(source, size, documents), which one aggregation of all documents gives.  Every
+Newton iteration is one aggregation of that table on the cluster, for all sources
+at once; a step that leaves the bracket of the root is replaced by its middle,
+and sums are decimal, so that they do not depend on the order of addition.  It
+ends where every source's words are within `TOLERANCE` of its target.
+
+Rounding: a document has floor(r_d) copies; of the rest f_d = r_d - floor(r_d)
+it has one more where u_d / f_d is small, u_d a hash of its doc_id between 0 and
+1 (sequential Poisson sampling), until the source's words are those of the
+target; what is left at the boundary is a part of one document.  The boundary is
+found by radix: each turn sums the words of 4096 ranges of that key and goes on
+with the rows of one range, so no list of documents is sorted or moved.
 
 Null texts have size 0 and are taken 0 times over; a null source is a source of
-its own, last.  Rows that repeat a doc_id share what falls on the boundary.
+its own, last.  Rows that repeat a doc_id and a size share what falls on the
+boundary.  An empty table gives no rows.  Texts are counted whole, of any length.
+Other columns are passed on by `mix`, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .workspace import Workspace
+
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
 WORD = r"[^\x20\x09-\x0D]+"
-_ROUNDS = 40
+TOLERANCE = 1e-11
+#: Bits of the rounding key, and of a range's number.
+BITS, STEP = 52, 12
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, and the order key of each row."""
+def sized(docs: DataFrame, *keep: str) -> DataFrame:
+    """`s` (the source in a struct), `size`, `u` (the hash of doc_id, above 0 to 1) and the struct `row` of columns `keep`."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select("doc_id", "source", size.alias("size"), F.coalesce(F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit("")).alias("key"))
+    u = (F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, BITS // 4), 16, 10).cast("long") + 1) / float(1 << BITS)
+    return docs.select(F.struct("source").alias("s"), size.alias("size"), u.alias("u"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"))
 
 
 def targets(totals: DataFrame) -> DataFrame:
@@ -56,57 +72,110 @@ def targets(totals: DataFrame) -> DataFrame:
     return t.select("source", "source_size", F.least(CAP * F.col("source_size"), F.coalesce(F.col("weight") * F.col("level.share"), F.lit(0.0))).alias("target"))
 
 
-def balance(t: DataFrame) -> DataFrame:
-    """Newton on the dual of each source from l = 0: the rate exp(l), with the step halved where it would overshoot e-fold."""
-    s, goal = F.col("source_size").cast("double"), F.col("target")
-    step = lambda l, _: l - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (s * F.exp(l) - goal) / (s * F.exp(l))))
-    dual = F.aggregate(F.sequence(F.lit(1), F.lit(_ROUNDS)), F.lit(0.0), step)
-    return t.withColumn("rate", F.when((s > 0) & (goal > 0), F.least(F.exp(dual), F.lit(CAP))).otherwise(0.0))
-
-
-def plan(docs: DataFrame) -> DataFrame:
-    """One row a source: source_size, target, rate, base copies, and the boundary (edge key, words before, due, at it)."""
-    rows = sized(docs)
-    cells = rows.groupBy("source", F.substring("key", 1, 3).alias("cell")).agg(F.sum("size").alias("words"))
-    cells = cells.select(F.struct("source").alias("s"), "cell", "words")
-    totals = cells.groupBy("s").agg(F.sum("words").alias("source_size")).select("s.source", "source_size")
-    t = balance(targets(totals))
-    goal = F.round(F.col("target")).cast("long")
-    # floor(rate), safe against 2.9999999: whole copies are those the target can hold.
-    base = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("rate") + 1e-9), F.floor(goal / F.col("source_size")), F.lit(int(CAP)))).otherwise(0).cast("long")
-    t = t.withColumn("base", base).withColumn("due", F.least(goal, CAP * F.col("source_size")).cast("long") - F.col("base") * F.col("source_size"))
-    t = t.select(F.struct("source").alias("s"), "source_size", "target", "rate", "base", "due")
-    run = Window.partitionBy("s").orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at = cells.withColumn("upto", F.sum("words").over(run)).join(t.select("s", "due"), "s").where("due > 0 and upto >= due").groupBy("s").agg(F.min(F.struct("cell", "upto", "words")).alias("c"))
-    edge = at.select("s", F.col("c.cell").alias("cell"), (F.col("c.upto") - F.col("c.words")).alias("before"))
-    keyed = rows.select(F.struct("source").alias("s"), "key", "size", F.substring("key", 1, 3).alias("cell")).groupBy("s", "cell", "key").agg(F.sum("size").alias("words"))
-    inside = keyed.join(edge, ["s", "cell"]).join(t.select("s", "due"), "s")
-    up = Window.partitionBy("s").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = inside.withColumn("upto", F.col("before") + F.sum("words").over(up)).where("upto >= due")
-    found = inside.groupBy("s").agg(F.min(F.struct("key", "upto", "words")).alias("c")).select("s", F.col("c.key").alias("edge"), (F.col("c.upto") - F.col("c.words")).alias("before"), F.col("c.words").alias("at"))
-    return t.join(found, "s", "left").select("s.source", "source_size", "target", "rate", "base", "due", "edge", "before", "at")
-
-
-def with_taken(docs: DataFrame, keep: list[str], rates: DataFrame | None = None) -> DataFrame:
-    """Columns `keep` of docs, and size, source_size, target and taken."""
-    rates = plan(docs) if rates is None else rates
-    rates = rates.select(F.col("source").alias("_source"), *[F.col(c).alias("_" + c) for c in rates.columns[1:]])
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    key = F.coalesce(F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit(""))
-    rows = docs.withColumns({"_size": size, "_key": key}).select(*keep, F.col("source").alias("_of"), "_size", "_key")
-    rows = rows.join(rates, F.col("_of").eqNullSafe(F.col("_source")))
-    part = F.floor(F.col("_size") * (F.col("_due") - F.col("_before")).cast("decimal(38,0)") / F.greatest(F.col("_at"), F.lit(1))).cast("long")
-    extra = F.when(F.col("_edge").isNull(), 0).when(F.col("_key") < F.col("_edge"), F.col("_size")).when(F.col("_key") == F.col("_edge"), part).otherwise(0)
-    return rows.select(*keep, F.col("_size").alias("mix_size"), F.col("_source_size").alias("mix_source_size"), F.col("_target").alias("mix_target"), (F.col("_base") * F.col("_size") + extra).cast("long").alias("mix_taken"))
+def _tilt() -> F.Column:
+    """exp(l size / scale) of a row with its source's state."""
+    return F.exp(F.col("l") * F.try_divide("size", "scale"))
+
+
+def _rate() -> F.Column:
+    return F.when(F.col("full"), F.lit(CAP)).when(F.col("l").isNull(), F.lit(0.0)).otherwise(F.least(F.lit(CAP), _tilt()))
+
+
+def _base() -> F.Column:
+    """Whole copies; safe against 1.9999999."""
+    return F.least(F.floor(_rate() + 1e-9), F.lit(int(CAP))).cast("long")
+
+
+def _key() -> F.Column:
+    """Ascending with u / f, as an integer of BITS bits; null where there is no further copy to give."""
+    f = _rate() - _base()
+    return F.when((f > 0) & (F.col("size") > 0), F.least(F.floor(F.col("u") / (F.col("u") + F.greatest(f, F.lit(0.0))) * (1 << BITS)), F.lit((1 << BITS) - 1)).cast("long"))
+
+
+def balance(counts: DataFrame, ws: Workspace, rounds: int = 200) -> DataFrame:
+    """(s, size, n) -> one row a source: s, source_size, target, scale (size of a typical word's document), l and full.
+
+    l is null where there are no words or every document is taken CAP times.
+    """
+    words = F.sum(F.col("n") * F.col("size"))
+    squares = F.sum(F.col("n") * F.col("size").cast("double") * F.col("size"))
+    one = ws.save(counts.groupBy("s").agg(words.alias("source_size"), squares.alias("squares"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least")), "sources")
+    t = targets(one.select("s.source", "source_size")).select(F.struct("source").alias("s"), "target")
+    state = one.join(t, "s").withColumns({"scale": F.try_divide("squares", "source_size"), "full": (F.col("source_size") > 0) & (F.col("target") >= CAP * F.col("source_size"))})
+    ratio, least = F.log(F.try_divide("target", "source_size")), F.col("scale") / F.col("least")
+    found = (F.col("source_size") > 0) & (F.col("target") > 0) & ~F.col("full")
+    state = state.withColumns({"l": F.when(found, ratio), "lo": F.least(F.lit(0.0), ratio * least), "hi": math.log(CAP) * least, "off": F.when(found, F.lit(1.0)).otherwise(0.0)})
+    state = ws.save(state.select("s", "source_size", "target", "scale", "full", "l", "lo", "hi", "off"), "state0")
+    exact = lambda x: F.sum(x.cast("decimal(38,10)")).cast("double")
+    weight = F.col("n") * F.col("size")
+    for turn in range(1, rounds + 1):
+        rows = counts.join(state.where(F.col("off") > TOLERANCE).select("s", "l", "scale", "full"), "s")
+        slope = F.when(_tilt() < CAP, weight * F.col("size") / F.col("scale") * _tilt()).otherwise(0.0)
+        sums = rows.groupBy("s").agg(exact(weight * _rate()).alias("got"), exact(slope).alias("slope"))
+        new = state.join(sums, "s", "left").withColumn("over", F.col("got") - F.col("target"))
+        new = new.withColumns({"lo": F.when(F.col("over") < 0, F.col("l")).otherwise(F.col("lo")), "hi": F.when(F.col("over") > 0, F.col("l")).otherwise(F.col("hi"))})
+        step = F.col("l") - F.try_divide("over", "slope")
+        inside = (F.col("slope") > 0) & (step > F.col("lo")) & (step < F.col("hi"))
+        off = F.coalesce(F.try_divide(F.abs("over"), "target"), F.lit(0.0))
+        new = new.withColumns({"off": off, "next": F.when(off <= TOLERANCE, F.col("l")).when(inside, step).otherwise((F.col("lo") + F.col("hi")) / 2)})
+        # A bracket without a number inside is as near as doubles come.
+        new = new.withColumn("off", F.when((F.col("next") <= F.col("lo")) | (F.col("next") >= F.col("hi")), 0.0).otherwise(F.col("off")))
+        state = ws.save(new.select("s", "source_size", "target", "scale", "full", F.col("next").alias("l"), "lo", "hi", "off"), f"state{turn}")
+        ws.drop(f"state{turn - 1}")
+        if state.where(F.col("off") > TOLERANCE).isEmpty():
+            break
+    return state.select("s", "source_size", "target", "scale", "l", "full")
+
+
+def plan(rows: DataFrame, ws: Workspace) -> DataFrame:
+    """Of rows (s, size, u): one row a source with `balance`'s columns, `due` words of further copies, and the boundary: edge key, words before it and at it."""
+    counts = ws.save(rows.groupBy("s", "size").agg(F.count("*").alias("n")), "counts")
+    state = balance(counts, ws)
+    copied = counts.join(state, "s").groupBy("s").agg(F.sum(F.col("n") * F.col("size") * _base()).alias("copied"))
+    due = F.greatest(F.lit(0), F.least(F.round("target"), CAP * F.col("source_size")).cast("long") - F.coalesce("copied", F.lit(0)))
+    state = ws.save(state.join(copied, "s", "left").withColumn("due", due).drop("copied"), "due")
+    # The words of equal keys are one row from here on.
+    left = rows.join(state.where("due > 0"), "s").select("s", _key().alias("key"), "size").where("key is not null")
+    left = left.groupBy("s", "key").agg(F.sum("size").alias("words"))
+    edge = state.where("due > 0").select("s", "due", F.lit(0).cast("long").alias("before"))
+    for turn, shift in enumerate(range(BITS - STEP, -STEP, -STEP)):
+        cell = F.shiftright("key", max(shift, 0)).alias("cell")
+        cells = left.groupBy("s", cell).agg(F.sum("words").alias("words"), F.min("key").alias("low"), F.max("key").alias("high"))
+        upto = F.col("before") + F.sum("words").over(Window.partitionBy("s").orderBy("cell"))  # 4096 cells at most
+        at = cells.join(edge.select("s", "due", "before"), "s").withColumn("upto", upto).where("upto >= due").groupBy("s").agg(F.min(F.struct("cell", "upto", "words", "low", "high", "due")).alias("c"))
+        edge = ws.save(at.select("s", "c.cell", "c.due", (F.col("c.upto") - F.col("c.words")).alias("before"), F.col("c.words").alias("at"), "c.low", "c.high"), f"edge{turn}")
+        if shift <= 0 or edge.where("low < high").isEmpty():
+            break
+        left = ws.save(left.withColumn("cell", cell).join(edge.select("s", "cell"), ["s", "cell"], "left_semi").drop("cell"), f"left{turn}")
+    return state.join(edge.select("s", F.col("low").alias("edge"), "before", "at"), "s", "left")
+
+
+def taken(rows: DataFrame, rates: DataFrame) -> DataFrame:
+    """Rows (s, size, u, row) with their source's size, target, rate and the words taken."""
+    key = _key()
+    part = F.floor(F.col("size") * (F.col("due") - F.col("before")).cast("decimal(38,0)") / F.greatest(F.col("at"), F.lit(1))).cast("long")
+    extra = F.when(key.isNull() | (F.col("due") <= 0), 0).when(F.col("edge").isNull() | (key < F.col("edge")), F.col("size")).when(key == F.col("edge"), part).otherwise(0)
+    return rows.join(rates, "s").select("row", "size", "source_size", "target", _rate().alias("rate"), (_base() * F.col("size") + extra).cast("long").alias("taken"))
+
+
+def with_taken(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """Columns `keep` of docs, and mix_size, mix_source_size, mix_target, mix_rate and mix_taken."""
+    ws = Workspace(docs.sparkSession, "mixing")
+    rows = ws.save(sized(docs, *keep), "rows")
+    out = taken(rows, plan(rows, ws))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in keep], *[F.col(c).alias(f"mix_{c}") for c in ("size", "source_size", "target", "rate", "taken")])
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """The documents of the mix with the columns of docs: each as often as it is taken, a boundary document to the nearest copy."""
-    rows = with_taken(docs, docs.columns)
-    copies = F.when(F.col("mix_size") > 0, F.round(F.col("mix_taken") / F.col("mix_size"))).otherwise(0).cast("int")
-    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*docs.columns)
+    ws = Workspace(docs.sparkSession, "mixing")
+    rates = ws.save(plan(ws.save(sized(docs, "doc_id"), "rows"), ws), "rates")
+    rows = taken(sized(docs, *docs.columns), rates)
+    copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
+    rows = rows.select("row", F.explode(F.array_repeat(F.lit(1), copies)))
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_taken(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"])
-    return rows.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
+    return rows.select("doc_id", *[F.col(f"mix_{c}").alias(c) for c in ("size", "source_size", "target", "taken")])

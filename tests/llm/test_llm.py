@@ -187,11 +187,41 @@ def test_mixing_meets_targets(spark):
     assert sorted(map(tuple, out)) == sorted(map(tuple, mixing.with_taken(docs.repartition(7), ["doc_id", "source"]).collect()))
 
 
+def test_mixing_is_the_dual_by_brute_force(spark):
+    """Rates are min(3, exp(l size)) with the l that halving finds; copies are floor and the rest by the key."""
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(["w"] * int(rng.integers(0, 200)))) for i in range(500)]
+    docs = frame(spark, rows).withColumn("source", F.when(F.col("doc_id") < 250, "a").when(F.col("doc_id") < 400, "b").when(F.col("doc_id") < 410, "c"))
+    of = defaultdict(list)
+    for r in mixing.with_taken(docs, ["doc_id", "source"]).collect():
+        of[r.source].append(r)
+    assert len({r.mix_rate for r in of["b"]}) > 20
+    for rs in of.values():
+        size, goal = np.array([r.mix_size for r in rs], float), rs[0].mix_target
+        low, high = -10.0, 10.0
+        for _ in range(300):
+            mid = (low + high) / 2
+            low, high = (mid, high) if (size * np.minimum(3, np.exp(mid * size))).sum() < goal else (low, mid)
+        rate = np.minimum(3, np.exp(mid * size))
+        if goal < 3 * size.sum():
+            assert np.allclose([r.mix_rate for r in rs if r.mix_size], rate[size > 0], rtol=1e-6)
+        assert abs(sum(r.mix_taken for r in rs) - goal) <= 1
+        whole = np.array([r.mix_taken / r.mix_size if r.mix_size else 0 for r in rs])
+        assert sum(x != int(x) for x in whole) <= 1 and (np.abs(whole - rate)[size > 0] <= 1 + 1e-6).all()
+
+
 def test_mixing_odd(spark):
-    out = mixing.with_taken(odd(spark), ["doc_id"]).collect()
+    names = {c: F.lit(i) for i, c in enumerate(["_size", "_key", "_of", "_source", "mix_size", "s", "u", "row", "l", "full", "due", "edge", "taken"])}
+    docs = odd(spark).withColumns(names)
+    out = mixing.with_taken(docs, ["doc_id"]).collect()
     assert len(out) == 7 and all(r.mix_taken <= 3 * r.mix_size for r in out)
-    assert mixing.mix(odd(spark)).columns == odd(spark).columns
-    assert mixing.with_taken(odd(spark).limit(0), ["doc_id"]).count() == 0
+    kept = mixing.mix(docs)
+    assert kept.columns == docs.columns and {(r["_size"], r["_key"], r["edge"], r["row"]) for r in kept.collect()} == {(0, 1, 11, 7)}
+    assert mixing.with_taken(odd(spark).limit(0), ["doc_id"]).count() == 0 and mixing.mix(odd(spark).limit(0)).count() == 0
+    empty = frame(spark, [(1, None), (2, ""), (None, " ")])
+    assert [(r.mix_taken, r.mix_target) for r in mixing.with_taken(empty, ["doc_id"]).collect()] == [(0, 0.0)] * 3
+    again = mixing.with_taken(frame(spark, [(7, "a b c")] * 50 + [(None, "d e")] * 9), ["doc_id"]).collect()
+    assert abs(sum(r.mix_taken for r in again) - sum(r.mix_size for r in again)) <= 50
 
 
 def test_sstable_round_trip(spark):
