@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .workspace import Workspace
@@ -99,7 +99,7 @@ def balance(counts: DataFrame, ws: Workspace, rounds: int = 200) -> DataFrame:
     """
     words = F.sum(F.col("n") * F.col("size"))
     squares = F.sum(F.col("n") * F.col("size").cast("double") * F.col("size"))
-    one = ws.save(counts.groupBy("s").agg(words.alias("source_size"), squares.alias("squares"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least")), "sources")
+    one = counts.groupBy("s").agg(words.alias("source_size"), squares.alias("squares"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least"))
     t = targets(one.select("s.source", "source_size")).select(F.struct("source").alias("s"), "target")
     state = one.join(t, "s").withColumns({"scale": F.try_divide("squares", "source_size"), "full": (F.col("source_size") > 0) & (F.col("target") >= CAP * F.col("source_size"))})
     ratio, least = F.log(F.try_divide("target", "source_size")), F.col("scale") / F.col("least")
@@ -120,9 +120,10 @@ def balance(counts: DataFrame, ws: Workspace, rounds: int = 200) -> DataFrame:
         new = new.withColumns({"off": off, "next": F.when(off <= TOLERANCE, F.col("l")).when(inside, step).otherwise((F.col("lo") + F.col("hi")) / 2)})
         # A bracket without a number inside is as near as doubles come.
         new = new.withColumn("off", F.when((F.col("next") <= F.col("lo")) | (F.col("next") >= F.col("hi")), 0.0).otherwise(F.col("off")))
-        state = ws.save(new.select("s", "source_size", "target", "scale", "full", F.col("next").alias("l"), "lo", "hi", "off"), f"state{turn}")
-        ws.drop(f"state{turn - 1}")
-        if state.where(F.col("off") > TOLERANCE).isEmpty():
+        worst = Observation()
+        new = new.select("s", "source_size", "target", "scale", "full", F.col("next").alias("l"), "lo", "hi", "off")
+        state = ws.save(new.observe(worst, F.max("off").alias("off")), f"state{turn}")
+        if (worst.get["off"] or 0.0) <= TOLERANCE:
             break
     return state.select("s", "source_size", "target", "scale", "l", "full")
 
@@ -143,8 +144,10 @@ def plan(rows: DataFrame, ws: Workspace) -> DataFrame:
         cells = left.groupBy("s", cell).agg(F.sum("words").alias("words"), F.min("key").alias("low"), F.max("key").alias("high"))
         upto = F.col("before") + F.sum("words").over(Window.partitionBy("s").orderBy("cell"))  # 4096 cells at most
         at = cells.join(edge.select("s", "due", "before"), "s").withColumn("upto", upto).where("upto >= due").groupBy("s").agg(F.min(F.struct("cell", "upto", "words", "low", "high", "due")).alias("c"))
-        edge = ws.save(at.select("s", "c.cell", "c.due", (F.col("c.upto") - F.col("c.words")).alias("before"), F.col("c.words").alias("at"), "c.low", "c.high"), f"edge{turn}")
-        if shift <= 0 or edge.where("low < high").isEmpty():
+        mixed = Observation()
+        edge = at.select("s", "c.cell", "c.due", (F.col("c.upto") - F.col("c.words")).alias("before"), F.col("c.words").alias("at"), "c.low", "c.high")
+        edge = ws.save(edge.observe(mixed, F.count_if(F.col("low") < F.col("high")).alias("n")), f"edge{turn}")
+        if shift <= 0 or not (mixed.get["n"] or 0):
             break
         left = ws.save(left.withColumn("cell", cell).join(edge.select("s", "cell"), ["s", "cell"], "left_semi").drop("cell"), f"left{turn}")
     return state.join(edge.select("s", F.col("low").alias("edge"), "before", "at"), "s", "left")
