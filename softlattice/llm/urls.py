@@ -2,21 +2,22 @@
 
 Features of a URL: length, path depth, digit ratio, entropy of the host's
 characters, parameter count, labels and hyphens of the host, host length,
-fragment, and the smoothed block rate of its suffix and of its suffix with the
-first path segment (its section), exact over all labelled rows; the trees are
-fitted on all of them, with rates that leave out the fifth of the URLs that the
-row's own belongs to, so a rare section does not give its label away.  The rates
-are a table that is joined, of any size.  A labelled table can be given; the
-default labels every page's URL, 1 where a part of the host (between dots and
-hyphens) is one of SPAM, else 0: the rules are policy on languages and say
-nothing of how a bad URL looks.  Trees are grown level by level
+fragment, and the smoothed block rates of its suffix, of the first segment of its
+path, and of both together (its section), exact over all labelled rows; the trees
+are fitted on all of them, with rates that leave out the fifth of the URLs that
+the row's own belongs to, so a rare section does not give its label away.  The
+rates are tables that are joined, of any size.  Labelled URLs are those of a table
+that is given, or by default the pages that a rule judges, so the method carries
+over to other URLs what the rules say of theirs.  Trees are grown level by level
 on histograms: one groupBy of (node, feature, bin) gives the sums of gradients
 and Hessians, of which the driver gets nodes x features x bins numbers, and the
 fitted trees are CASE expressions, so scoring is one projection.
 
 A null url, or one without `://`, has empty host and path and is judged by the
-method; repeated rows get the same verdict; without labelled rows all are
-allowed.  DataFrame and SQL functions only.
+method; urls are read whole, of any length; of rules of one length that fit, the
+later in the list wins; repeated rows get the same verdict; without labelled rows
+all are allowed; an empty table gives no rows.  Other columns are not read,
+whatever their names.  DataFrame and SQL functions only.
 """
 
 from __future__ import annotations
@@ -30,13 +31,9 @@ from .workspace import Workspace
 
 #: (host, path prefix, verdict)
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-#: Parts of host names that label a URL as bad by default.
-SPAM = (
-    "adult bet bets betting casino cheap cialis clickbait crack escort gamble gambling jackpot keygen loan loans lottery payday pharma pill pills poker "
-    "porn replica sex slots spam torrent viagra warez winner xxx"
-).split()
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-FEATURES = ("length", "depth", "digits", "entropy", "params", "labels", "hyphens", "host_length", "fragment", "suffix_rate", "section_rate")
+FEATURES = ("length", "depth", "digits", "entropy", "params", "labels", "hyphens", "host_length", "fragment", "suffix_rate", "segment_rate", "section_rate")
+RATED = ("suffix", "segment", "section")
 BINS, FOLDS = 16, 5
 
 
@@ -63,15 +60,15 @@ def _entropy(text: str) -> F.Column:
 
 
 def lexical(rows: DataFrame) -> DataFrame:
-    """Adds the features that need no statistics, the suffix and the section."""
+    """Adds the features that need no statistics, the suffix, the first segment of the path, and the section."""
     many = lambda col, c: (F.length(col) - F.length(F.replace(F.col(col), F.lit(c)))).cast("double")
     digits = F.length(F.regexp_replace("url", r"[^0-9]", "")) / F.greatest(F.length("url"), F.lit(1))
     suffix = F.substring_index("host", ".", -1)
-    section = F.concat(suffix, F.lit("/"), F.regexp_extract("path", r"^/([^/]*)", 1))
+    segment = F.regexp_extract("path", r"^/([^/]*)", 1)
     return rows.withColumns({
         "length": F.length("url").cast("double"), "depth": many("path", "/"), "digits": digits.cast("double"), "entropy": _entropy("host"), "params": many("url", "=") + many("url", "&"),
         "labels": many("host", "."), "hyphens": many("host", "-"), "host_length": F.length("host").cast("double"), "fragment": F.contains("url", F.lit("#")).cast("double"),
-        "suffix": suffix, "section": section,
+        "suffix": suffix, "segment": segment, "section": F.concat(suffix, F.lit("/"), segment),
     })
 
 
@@ -93,9 +90,9 @@ def _with_rates(rows: DataFrame, stats, folds: bool = False) -> DataFrame:
     counts, mean = stats
     if folds:
         rows = rows.withColumn("fold", _fold())
-    for by in ("suffix", "section"):
+    for by in RATED:
         rows = rows.join(_rates(counts, by, mean, folds), [by, "fold"] if folds else by, "left")
-    return rows.withColumns({f"{by}_rate": F.coalesce(f"{by}_rate", F.lit(mean)) for by in ("suffix", "section")})
+    return rows.withColumns({f"{by}_rate": F.coalesce(f"{by}_rate", F.lit(mean)) for by in RATED})
 
 
 def _tree(node, names) -> F.Column:
@@ -123,7 +120,7 @@ def fit(labelled: DataFrame, trees: int = 6, depth: int = 3, rate: float = 0.5,
     spark = labelled.sparkSession
     ws = Workspace(spark, "urls")
     rows = lexical(labelled)
-    counts = ws.save(rows.groupBy("suffix", "section", _fold().alias("fold")).agg(F.count("*").alias("n"), F.sum("y").alias("pos")), "sections")
+    counts = ws.save(rows.groupBy(*RATED, _fold().alias("fold")).agg(F.count("*").alias("n"), F.sum("y").alias("pos")), "sections")
     n, pos = counts.agg(F.sum("n"), F.sum("pos")).first()
     if not n:
         return None
@@ -194,11 +191,10 @@ def _best(rows, ridge: float):
 
 
 def judge(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None) -> DataFrame:
-    """page_id, host, path, rule, verdict and block_score of every row; labelled: (page_id, url, host, path, y)."""
+    """page_id, host, path, rule, verdict and block_score of every row; labelled: (page_id, url, host, path, y), y 1 to block."""
     rows = ruled(parsed(pages), rules)
     if labelled is None:
-        bad = F.arrays_overlap(F.split("host", r"[.\-]"), F.array(*map(F.lit, SPAM)))
-        labelled = rows.select("page_id", "url", "host", "path", bad.cast("int").alias("y"))
+        labelled = rows.where("rule is not null").select("page_id", "url", "host", "path", (F.col("verdict") == "block").cast("int").alias("y"))
     model = fit(labelled)
     if model is None:
         return rows.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"), F.lit(0.0).alias("block_score"))
