@@ -1,18 +1,21 @@
 """Quality classifier by co-training (Blum and Mitchell, COLT 1998).
 
-Two views of a document: the form of its text (lengths, shares of symbols,
-digits and capitals, repetition of words and lines) and its page metadata (lang,
-source, n_chars).  Each view has a logistic classifier, fitted by Newton's
-method.  In every round each classifier labels the unlabelled documents it is
-surest of, in the proportions of the labels, for the other one to learn from.
-Both are calibrated (Platt) on labelled rows kept out of the rounds, and the
-score adds their log-odds less the prior's.
+Two views of a document.  Its text: hashed words (how often each comes, by its
+logarithm, scaled to length one), and shares of its bytes, words and lines that
+are digits, capitals, marks, repeats.  Its page metadata: lang and source, and
+nothing that the text tells.  Each view has a softmax classifier of two classes,
+fitted by Newton's method.  In every round each classifier labels the unlabelled
+documents it is surest of, in the proportions of the labels, for the other one to
+learn from.  Both are calibrated (Platt) on labelled rows kept out of the rounds,
+and the score adds their log-odds less the prior's.
 
 Labels are read only from rows with crc32(doc_id as text) mod 5 <> 0, at most
-`max_labelled` of them and `max_unlabelled` other documents; all documents are
-scored.  Null or empty texts, langs, sources and n_chars are values of their
-own; with no labels, or labels of one class, every score is that share (0.5
-without any).
+`max_labelled` of them; the pool of unlabelled documents has `max_unlabelled`;
+all documents are scored, on their whole texts of any length.  Null or empty
+texts, langs and sources are values of their own; of labels of one doc_id that
+disagree the larger counts; with no labels, or labels of one class, every score
+is that share (0.5 without any).  Repeated rows score alike; an empty table gives
+no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,43 +29,51 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .text import span_hash, utf8, words
 from .toxicity import held_out
-from .workspace import small_batches
-
-_SYMBOLS, _ENDS, _HASHED = "#$%&*|<>{}[]@^~=+\\", ".!?", 48
-
-
-def text_view(text: str | None) -> list[float]:
-    t = text or ""
-    n = max(len(t), 1)
-    words = t.split()
-    k = max(len(words), 1)
-    lines = t.split("\n")
-    distinct = len(set(words))
-    solid = sum(map(len, words))
-    symbols = sum(map(t.count, _SYMBOLS))
-    ends = sum(map(t.count, _ENDS))
-    commas = t.count(",")
-    bars = t.count("|")
-    triples = t.count("###") + t.count("$$$") + t.count("%%%") + t.count("&&&") + t.count("***")
-    digits = sum(map(t.count, "0123456789"))
-    return [
-        math.log1p(len(t)), math.log1p(len(words)), solid / k, symbols / n * 20, min(triples / k, 1) * 5, bars / k * 5, ends / k * 5, commas / k * 5, digits / n * 20,
-        distinct / k, len(set(lines)) / len(lines), len(lines) / k * 5, float(symbols / n > 0.03), float(bars / k > 0.2), float(distinct / k < 0.3), float(len(words) < 20),
-    ]
-
-
-def meta_view(lang: str | None, source: str | None, n_chars: int | None) -> list[float]:
+from .workspace import least, small_batches
+
+#: Hashed words of the text view, hashed values of each column of the metadata view.
+_WORDS, _HASHED = 192, 48
+_KINDS = ("0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "#$%&*|<>{}[]@^~=+\\", ".!?", ",;:", "\"'()-")
+_KIND = np.full(256, len(_KINDS), np.int64)
+for _i, _chars in enumerate(_KINDS):
+    _KIND[np.frombuffer(_chars.encode(), np.uint8)] = _i
+
+
+def text_views(column: pa.Array) -> np.ndarray:
+    """A row of features for each text."""
+    w = words(column)
+    raw, offs = utf8(column)
+    kind = _KIND[raw]
+    again = np.zeros(len(raw), bool)
+    again[1:] = (raw[1:] == raw[:-1]) & (kind[1:] < len(_KINDS))
+    breaks = np.flatnonzero(raw == 10)
+    starts = np.union1d(offs[:-1], breaks + 1)
+    starts = starts[starts < len(raw)]
+    line = span_hash(raw, starts, np.append(starts[1:], len(raw))) if len(starts) else np.zeros(0, np.uint64)
+    out = np.zeros((len(offs) - 1, _WORDS + len(_KINDS) + 6))
+    for i in range(len(out)):
+        a, b, c, d = offs[i], offs[i + 1], w.doc[i], w.doc[i + 1]
+        n, k = max(b - a, 1), max(d - c, 1)
+        tf = np.log1p(np.bincount((w.hash[c:d] % np.uint64(_WORDS)).astype(np.int64), minlength=_WORDS))
+        out[i, :_WORDS] = tf / max(np.sqrt((tf * tf).sum()), 1.0)
+        lines = line[np.searchsorted(starts, a) : np.searchsorted(starts, b)]
+        form = [math.log1p(n), math.log1p(k), (w.end[c:d] - w.start[c:d]).sum() / k, len(np.unique(w.hash[c:d])) / k, len(np.unique(lines)) / max(len(lines), 1), math.sqrt(again[a:b].sum() / n)]
+        out[i, _WORDS:] = [*np.sqrt(np.bincount(kind[a:b], minlength=len(_KINDS) + 1)[:-1] / n), *form]
+    return out
+
+
+def meta_view(lang: str | None, source: str | None) -> list[float]:
     out = [0.0] * (2 * _HASHED)
     out[zlib.crc32(f"l|{lang}".encode()) % _HASHED] = 1.0
     out[_HASHED + zlib.crc32(f"s|{source}".encode()) % _HASHED] = 1.0
-    size = math.log1p(max(n_chars or 0, 0))
-    return [*out, size / 5, (size / 5) ** 2, float(n_chars is None)]
+    return out
 
 
 @dataclass
 class View:
-    """Standardised logistic model and its Platt calibration."""
+    """Standardised linear model of the log-odds and its Platt calibration."""
 
     mean: np.ndarray
     scale: np.ndarray
@@ -77,7 +88,7 @@ class View:
         return np.clip(self.a * self.margin(x) + self.b, -12, 12)
 
 
-def _newton(x: np.ndarray, y: np.ndarray, ridge: float, rounds: int = 25) -> np.ndarray:
+def _newton(x: np.ndarray, y: np.ndarray, ridge: float, rounds: int = 15) -> np.ndarray:
     x = np.column_stack([np.ones(len(x)), x])
     w, pen = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
     pen[0] = 1e-6
@@ -87,12 +98,12 @@ def _newton(x: np.ndarray, y: np.ndarray, ridge: float, rounds: int = 25) -> np.
         h = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(pen)
         step = np.linalg.solve(h, g)
         w -= step * min(1.0, 5 / max(np.abs(step).max(), 1e-12))
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-4:
             break
     return w
 
 
-def fit_view(x: np.ndarray, y: np.ndarray, ridge: float = 2.0) -> View:
+def fit_view(x: np.ndarray, y: np.ndarray, ridge: float = 5.0) -> View:
     mean, scale = x.mean(0), x.std(0)
     scale[scale < 1e-9] = 1.0
     return View(mean, scale, _newton((x - mean) / scale, y, ridge))
@@ -156,13 +167,12 @@ def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, u_text: np.ndarra
     return QualityModel(prior, fitted["text"], fitted["meta"])
 
 
-_META = ("lang", "source", "n_chars")
+_META = ("lang", "source")
 
 
 def _views(batch) -> tuple[np.ndarray, np.ndarray]:
-    col = lambda c: batch.column(batch.schema.get_field_index(c)).to_pylist()
-    text = np.array([text_view(t) for t in col("text")], float).reshape(batch.num_rows, -1)
-    return text, np.array([meta_view(*m) for m in zip(*map(col, _META), strict=True)], float).reshape(batch.num_rows, -1)
+    col = lambda c: batch.column(batch.schema.get_field_index(c))
+    return text_views(col("text")), np.array([meta_view(*m) for m in zip(*(col(c).to_pylist() for c in _META), strict=True)], float).reshape(batch.num_rows, -1)
 
 
 def _featurise(batches):
@@ -174,15 +184,14 @@ def _featurise(batches):
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, max_unlabelled: int = 8000) -> QualityModel:
-    small_batches(docs.sparkSession)
-    least = lambda df, k, *more: df.where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id", *more).limit(k)
-    known = least(labels.where(F.col("quality").isNotNull() & ~held_out("doc_id")).select("doc_id", "quality"), max_labelled, "quality")
-    known = {r[0]: r[1] for r in known.collect()}
-    more = [r[0] for r in least(docs.select("doc_id"), max_unlabelled).collect()]
     spark = docs.sparkSession
-    ids = spark.createDataFrame([(i,) for i in {*known, *more}], "doc_id long")
+    small_batches(spark)
+    known = least(labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out("doc_id")).select("doc_id", "quality"), "doc_id", max_labelled, "quality")
+    known = {r[0]: r[1] for r in known.orderBy("quality").collect()}
+    more = [r[0] for r in least(docs.where("doc_id is not null").select("doc_id"), "doc_id", max_unlabelled).collect()]
+    ids = spark.createDataFrame([(i,) for i in {*known, *more}], "doc_id long")  # bounded by both parameters
     some = docs.select("doc_id", "text", *_META).join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(_featurise, "doc_id long, t array<double>, m array<double>")
-    table = some.orderBy("doc_id", F.hash("t")).limit(max_labelled + max_unlabelled).toArrow()
+    table = some.groupBy("doc_id").agg(F.min(F.struct("t", "m")).alias("x")).select("doc_id", "x.t", "x.m").orderBy("doc_id").toArrow()
     ids = table.column("doc_id").to_pylist()
     dense = lambda c: np.array(table.column(c).combine_chunks().flatten()).reshape(len(ids), -1) if ids else np.zeros((0, 1))
     t, m = dense("t"), dense("m")

@@ -6,12 +6,14 @@ themselves and their prefixes; it is fitted by the class-prior-corrected risk
 
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))
 
-with the logistic loss; where the bracket turns negative the step goes the other
+with the log-loss; where the bracket turns negative the step goes the other
 way, as the paper has it.  Scoring is one map over whole texts.
 
-Nulls and empty texts have no features and score by the intercept.  Without one
-confirmed toxic example every score is 0.  Repeated rows score alike; extra
-columns are passed on by `toxicity_filter` and never read.
+Nulls and empty texts have no features and score by the intercept; texts of any
+length are read whole.  Without one confirmed toxic example every score is 0; a
+doc_id that one label row calls toxic is a positive, whatever another says.  A
+score of exactly 0.5 counts as toxic.  Repeated rows score alike; an empty table
+gives no rows; extra columns are passed on by `toxicity_filter` and never read.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .workspace import release, small_batches
+from .workspace import least, release, small_batches
 
 DIMS = 1 << 18
 _WORD = re.compile(r"\w+")
@@ -64,10 +66,10 @@ def _featurise(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
 
-def _sample(docs: DataFrame, ids: DataFrame, n: int) -> list[np.ndarray]:
+def _sample(docs: DataFrame, ids: DataFrame) -> list[np.ndarray]:
     """Features of the documents in ids, of which there are n at most; the same rows every time."""
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(_featurise, "doc_id long, ids array<int>")
-    table = rows.orderBy("doc_id", F.hash("ids")).limit(n).toArrow()
+    table = rows.groupBy("doc_id").agg(F.min("ids").alias("ids")).orderBy("doc_id").toArrow()
     return [np.asarray(x.values, np.int32) for x in table.column("ids")] if table.num_rows else []
 
 
@@ -132,10 +134,9 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unla
     n, toxic = known.agg(F.count("*"), F.sum("toxic")).first()
     if not n or not toxic:
         return ToxicityModel(None)
-    least = lambda df, k: df.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(k)
     small_batches(docs.sparkSession)
-    positive = _sample(docs, least(known.where("toxic = 1"), max_positive), max_positive)
-    unlabelled = _sample(docs, least(docs, max_unlabelled), max_unlabelled)
+    positive = _sample(docs, least(known.where("toxic = 1").select("doc_id"), "doc_id", max_positive))
+    unlabelled = _sample(docs, least(docs.where("doc_id is not null").select("doc_id"), "doc_id", max_unlabelled))
     prior = min(max(toxic / n, 1 / n), 0.9)
     model = fit_nnpu(positive, unlabelled, min(prior, 1 - 1e-3))
     del positive, unlabelled
