@@ -5,14 +5,15 @@ The base spans are those of three patterns.  The method adds spans of kind
 Authorization: Bearer x, --api-key x) is cut into words, dates, repeats,
 keyboard walks, sequences and brute-force spans so that the product of guesses
 is least (dynamic programming over prefixes); a value is a secret from 10^`digits`
-guesses on.  Every credential word is tried, also one that an earlier word took for
-its value.  After a mere space a value must also hold a digit or three classes of
-characters; after `:`, `=`, `is` or Bearer the guesses alone decide, so a plain
-word that WORDS lacks counts there by brute force.  Values have no least or greatest
-length.  Values that a base span covers are not reported twice.
-
-Every text is scanned whole; null counts as empty and gives zero counts and the
-hash of the empty string.  Repeated rows give repeated results.
+guesses on.  The words are a list of common ones, then those of the corpus, most
+frequent first (`corpus_words`).  Every credential word is tried, also one that an
+earlier word took for its value.  What follows a mere space is running text more
+often than a secret, so there it takes 10^(2 `digits`) guesses.  Values have no
+least or greatest length.  Values that a base span covers are not reported twice.
+
+Every text is scanned whole, of any length; null counts as empty and gives zero
+counts and the hash of the empty string.  Repeated rows give repeated results; an
+empty table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,11 +21,13 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .workspace import small_batches
+from .workspace import Workspace, small_batches
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -47,8 +50,6 @@ WORDS = (
 ).split()
 #: A value longer than this may be judged by its first so many characters.
 PIECE = 256
-_RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-_LONGEST = max(map(len, WORDS))
 _LEET = str.maketrans("4@301!57$", "aaeoiists")
 #: Rows of a US keyboard.
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
@@ -69,14 +70,37 @@ def _brute(text: str) -> float:
     return math.log10(max(size, 10))
 
 
-def _spans(text: str):
+class Guesser:
+    """Costs of values; `words` in the order in which they would be guessed, after WORDS."""
+
+    def __init__(self, words: Sequence[str] = ()):
+        self.rank = {w: i + 1 for i, w in enumerate(dict.fromkeys([*WORDS, *words]))}
+        self.longest = max(map(len, self.rank))
+
+    def cost(self, text: str) -> float:
+        """log10 of the guesses of the cheapest segmentation; time is about the length times the longest word."""
+        n, single = len(text), _brute(text)
+        ends: dict[int, list[tuple[int, float]]] = {}
+        for i, j, cost in _spans(text, self.rank, self.longest):
+            ends.setdefault(j, []).append((i, cost))
+        best = [0.0] * (n + 1)
+        for j in range(1, n + 1):
+            best[j] = min([best[j - 1] + single, *(best[i] + cost + 0.3 for i, cost in ends.get(j, ()))])
+        return best[n]
+
+    def is_costly(self, value: str, digits: float) -> bool:
+        """Whether the cost reaches `digits`; a cut through the cheapest segmentation saves less than a short span's brute cost."""
+        return (len(value) > PIECE and self.cost(value[:PIECE]) >= digits + 2 * (self.longest + 12)) or self.cost(value) >= digits
+
+
+def _spans(text: str, ranks: dict[str, int], longest: int):
     """(start, end, log10 guesses) of each word, date, repeat, keyboard walk and sequence."""
     low, n = text.lower(), len(text)
     plain = low.translate(_LEET)
     for i in range(n):
-        for j in range(i + 3, min(n, i + _LONGEST) + 1):
-            rank = _RANK.get(low[i:j])
-            turned = rank is None and _RANK.get(plain[i:j])
+        for j in range(i + 3, min(n, i + longest) + 1):
+            rank = ranks.get(low[i:j])
+            turned = rank is None and ranks.get(plain[i:j])
             if rank or turned:
                 case = text[i:j]
                 extra = 0.0 if case == low[i:j] else 0.31 if case[0].isupper() and case[1:] == low[i + 1 : j] else 1.0
@@ -106,24 +130,10 @@ def _spans(text: str):
                 i += 1
 
 
-def guess_cost(text: str) -> float:
-    """log10 of the guesses of the cheapest segmentation; time is about the length times the longest word."""
-    n, single = len(text), _brute(text)
-    ends: dict[int, list[tuple[int, float]]] = {}
-    for i, j, cost in _spans(text):
-        ends.setdefault(j, []).append((i, cost))
-    best = [0.0] * (n + 1)
-    for j in range(1, n + 1):
-        best[j] = min([best[j - 1] + single, *(best[i] + cost + 0.3 for i, cost in ends.get(j, ()))])
-    return best[n]
+_COMMON = Guesser()
 
 
-def is_costly(value: str, digits: float) -> bool:
-    """Whether guess_cost reaches `digits`; a cut through the cheapest segmentation saves less than a short span's brute cost."""
-    return (len(value) > PIECE and guess_cost(value[:PIECE]) >= digits + 2 * (_LONGEST + 12)) or guess_cost(value) >= digits
-
-
-def find(text: str | None, digits: float = 10.0) -> list[tuple[int, int, str]]:
+def find(text: str | None, digits: float = 10.0, guesser: Guesser = _COMMON) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all spans in order; start and end count code points."""
     if not text:
         return []
@@ -138,26 +148,50 @@ def find(text: str | None, digits: float = 10.0) -> list[tuple[int, int, str]]:
             value = text[a:end].rstrip(".:!?")
             b = a + len(value)
             told = m[2] != " " or m[3] or m[1].lower() == "bearer"
-            shaped = told or sum((any(c.islower() for c in value), any(c.isupper() for c in value), any(c.isdigit() for c in value), any(not c.isalnum() for c in value))) >= 3 or any(c.isdigit() for c in value)
-            if shaped and not any(s <= a and b <= e for s, e, _ in base) and is_costly(value, digits):
+            if not any(s <= a and b <= e for s, e, _ in base) and guesser.is_costly(value, digits if told else 2 * digits):
                 out.append((a, b, "guess"))
                 at = b
             else:  # the value may be, or hold, the word that introduces the secret
-                at = max(m.end(1), end - PIECE) if shaped else m.end(1)  # but who can guess a long value can guess what it holds
+                at = max(m.end(1), end - PIECE)  # but who can guess a long value can guess what it holds
     return sorted(set(out), key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
+def corpus_words(docs: DataFrame, most: int = 20_000, least: int = 5) -> list[str]:
+    """Words of 3 to 20 letters, with a small or a great first one, by how many documents hold them: those of `least` at least.  A document with both forms counts twice.
+
+    Every document counts.  A dictionary is a model that goes to each task, so it
+    is bounded: the frequency from which words enter is the least (in steps of
+    about a hundredth) at which no more than `most` of them do.
+    """
+    ws = Workspace(docs.sparkSession, "words")
+    word = F.explode(F.array_distinct(F.split("text", "[^A-Za-z]+"))).alias("w")
+    one = docs.where("text is not null").select(word).where(F.col("w").rlike("^[A-Za-z][a-z]{2,19}$")).select(F.lower("w").alias("w"))
+    counts = one.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= least).withColumn("step", F.floor(F.log2("n") * 64).cast("int"))
+    counts = ws.save(counts, "counts")
+    first, held = None, 0
+    for step, n in counts.groupBy("step").count().orderBy(F.desc("step")).collect():  # 64 steps for each doubling
+        held += n
+        if held > most:
+            break
+        first = step
+    out = [] if first is None else [r[0] for r in counts.where(F.col("step") >= first).orderBy(F.desc("n"), "w").select("w").collect()]
+    ws.drop("counts")
+    return out
+
+
 def _joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
 
 
-def scan(docs: DataFrame, digits: float = 10.0) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, n_guess, base_sha256 and spans of every row."""
+def scan(docs: DataFrame, digits: float = 10.0, words: Sequence[str] = ()) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, n_guess, base_sha256 and spans of every row; words: see Guesser."""
     small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(list(words))
 
     def run(batches):
+        guesser = Guesser(shared.value)
         for batch in batches:
-            spans = [find(t, digits) for t in batch.column("text").to_pylist()]
+            spans = [find(t, digits, guesser) for t in batch.column("text").to_pylist()]
             count = lambda kind: pa.array([sum(k == kind for _, _, k in x) for x in spans], pa.int64())
             base = [hashlib.sha256(_joined([y for y in x if y[2] != "guess"]).encode()).hexdigest() for x in spans]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(count, KINDS), pa.array(base, pa.string()), pa.array(map(_joined, spans), pa.string())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
@@ -166,4 +200,5 @@ def scan(docs: DataFrame, digits: float = 10.0) -> DataFrame:
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return scan(docs, words=corpus_words(docs))
