@@ -116,7 +116,7 @@ class Boosted:
 
 
 def fit(labelled: DataFrame, trees: int = 6, depth: int = 3, rate: float = 0.5, ridge: float = 1.0) -> Boosted | None:
-    """Boosting with the logistic loss on (features, y) of all labelled rows."""
+    """Boosting with the log-loss on (features, y) of all labelled rows."""
     spark = labelled.sparkSession
     ws = Workspace(spark, "urls")
     rows = lexical(labelled)

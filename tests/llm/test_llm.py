@@ -372,7 +372,7 @@ def test_corpus_words_make_guesses_cheap(spark):
     docs = frame(spark, [(i, f"the Zephyrwort grows, zephyrwort{i} x") for i in range(9)] + [(99, "rareword thing"), (100, None)])
     found = secrets.corpus_words(docs)
     assert found == ["zephyrwort", "grows", "the"]  # with a small and with a great first letter: 18
-    assert secrets.corpus_words(docs, most=2) == [] and secrets.corpus_words(docs.limit(0)) == []
+    assert secrets.corpus_words(docs, most=2) == ["zephyrwort"] and secrets.corpus_words(docs.limit(0)) == []
     assert secrets.Guesser(found).cost("Zephyrwort") < 4 < 10 < secrets.Guesser().cost("Zephyrwort")
     assert [r.n_guess for r in secrets.scan(frame(spark, [(1, "pwd: Zephyrwort")]), words=found).collect()] == [0]
 
@@ -432,6 +432,24 @@ def test_sharding_is_a_walk(spark):
     assert sharding.place(odd(spark)).count() == 7 and sharding.place(odd(spark).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shards,rows", [(8, 400), (3, 50), (8, 5)])
+def test_sharding_row_by_row(spark, shards, rows):
+    """Every row by itself walks clockwise from its place to the first shard with room."""
+    docs = frame(spark, [(i % 60 if i % 7 else None, f"t{i % 4}" if i % 9 else None) for i in range(rows)])
+    cell = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), F.lit(sharding.CELLS))
+    size = lambda t: len((t or "").encode()) + 1
+    crc = lambda t: zlib.crc32((t or "").encode())
+    todo = sorted(((r.cell, r.doc_id is not None, r.doc_id or 0, crc(r.text), size(r.text), r.text is None) for r in docs.withColumn("cell", cell).collect()))
+    room = [rows // shards + (s < rows % shards) for s in range(shards)]
+    points, held, want = sharding.ring(shards), [0] * shards, Counter()
+    for c, named, doc_id, check, length, _ in todo:
+        clockwise = [s for p, s in points if p >= c] + [s for p, s in points if p < c]
+        shard = next(s for s in clockwise if held[s] < room[s])
+        want[doc_id if named else None, length, check, shard, held[shard]] += 1
+        held[shard] += 1
+    assert Counter((r.doc_id, r["size"], r.text_crc32, r.shard, r.slot) for r in sharding.place(docs, shards).collect()) == want
+
+
 def held(spark, op, label, column, sf="/root/testdata/sf0.01"):
     return op(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").select(label, column).collect()
 
@@ -476,19 +494,89 @@ def test_sql_says_the_same(spark, name):
     assert len(want) and sorted(found.itertuples(index=False, name=None)) == sorted(want.itertuples(index=False, name=None))
 
 
+def test_decontamination_by_word_runs(spark):
+    """Documents that share 13 words in a row with an item are found; those that share no 3 are left alone."""
+    plain = lambda t: [w.lower().strip(".,;:!?\"'()[]{}") for w in WORD.findall(t or "")]
+    runs = lambda t, k: {tuple(w[i : i + k]) for w in [plain(t)] for i in range(len(w) - k + 1)}
+    sf = "/root/testdata/sf0.01"
+    items = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    long, short = set().union(*(runs(t, 13) for t in items)), set().union(*(runs(t, 3) for t in items))
+    found = {r.doc_id: r.contaminated for r in decontaminate.op1_decontaminate(spark, sf).collect()}
+    sure = clean = 0
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        if runs(r.text, 13) & long:
+            sure += 1
+            assert found[r.doc_id], r.doc_id
+        elif not runs(r.text, 3) & short:
+            clean += 1
+            assert not found[r.doc_id], r.doc_id
+    assert sure > 5 and clean > 500
+
+
+def by_stage(spark, docs, sf):
+    """What each stage gives, from plain loops over the documents that it reads."""
+    from tokenizers import Tokenizer
+
+    rows = lambda df: Counter(tuple(r) for r in df.collect())
+    labels, bench = spark.read.parquet(f"{sf}/labels.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    index = decontaminate.build_index([(r.item_id, r.text) for r in bench.collect()])
+
+    def clean(text):
+        t = decontaminate.tokens(pa.array([text], pa.string()))
+        return not decontaminate.judge(index, t.template, t.plain, t.kind)
+
+    def toxicity_(df):
+        scorer = toxicity.Scorer(toxicity.train(df, labels))
+        return Counter(tuple(r) for r in df.collect() if scorer(r.text) < 0.5)
+
+    def near(df):
+        comp = brute_components(brute_sets([(r.doc_id, r.text) for r in df.collect() if r.doc_id is not None]))
+        return Counter({tuple(r): 1 for r in df.collect() if r.doc_id is None or comp[r.doc_id] == r.doc_id})
+
+    def mixed(df):
+        out = Counter()
+        for r in mixing.with_taken(df, df.columns).collect():
+            out[tuple(r[c] for c in df.columns)] += round(r.mix_taken / r.mix_size) if r.mix_size else 0
+        return +out
+
+    def shards(df):
+        plain, at, out = Tokenizer.from_file(sstable.default_tokenizer()), 0, Counter()
+        for r in df.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text")).collect():
+            ids = np.array([*plain.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4")
+            out[r.doc_id, at, len(ids), zlib.crc32(ids.tobytes())] += 1
+            at += len(ids)
+        return out
+
+    return rows, {"toxicity": toxicity_, "near_duplicates": near, "decontamination": lambda df: Counter(tuple(r) for r in df.collect() if clean(r.text)), "mixing": mixed, "shards": shards}
+
+
 def test_pipeline(spark):
-    kept, names = None, []
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    want = docs
+    rows, plain = by_stage(spark, docs, SF)
+    assert [name for name, _ in corpus_pipeline.STAGES] == list(plain)
+    last = None
     for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, want, SF)
-        names.append(name)
-        if name != "shards":
-            assert out.columns == docs.columns
-            if name == "near_duplicates":
-                comp = brute_components(brute_sets([(r.doc_id, r.text) for r in want.select("doc_id", "text").collect()]))
-                assert sorted(r.doc_id for r in out.collect()) == sorted(i for i, c in comp.items() if c == i)
-        want = Workspace(spark, "t").save(out, name)
-        kept = want
-    assert len(names) == 5 and kept.count() > 0
-    assert set(registry.QUERIES) >= {"op1_decontaminate", "op10_toxicity"}
+        last = Workspace(spark, "t").save(stage(spark, docs, SF), name)
+        assert name == "shards" or last.columns == docs.columns
+        assert rows(last) == plain[name](docs), name
+        docs = last
+    assert last.count() > 100
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, tmp_path):
+    sf = str(tmp_path)
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{sf}/{t}.parquet")
+    for docs in (odd(spark).union(odd(spark).selectExpr("cast(null as long) as doc_id", *odd(spark).columns[1:])), odd(spark).limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = Workspace(spark, "t").save(stage(spark, docs, sf), name)
+            assert name == "shards" or out.columns == docs.columns
+            docs = out
+        assert {r.doc_id for r in docs.collect()} <= {3, 4, 5, None}
+
+
+def test_all_queries_are_registered():
+    import __spark_entry__ as entry
+
+    assert {*registry.QUERIES, "pipeline"} <= set(entry.queries()) and len(registry.QUERIES) == 10
+    assert set(registry.ORACLE_SQL) <= set(entry.oracle_sql())
