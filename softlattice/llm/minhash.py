@@ -212,8 +212,8 @@ def _stars(bucket: DataFrame, percent: int, ws: Workspace, name: str) -> DataFra
     return edge.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
 
-#: Members of a group that meet in one block.
-BLOCK = 128
+#: Members of a group in one block: two blocks are compared in about a second, and a row is copied once for each.
+BLOCK = 4096
 
 
 def _across(rows: DataFrame, bits: DataFrame, percent: int, exact: bool) -> DataFrame:

@@ -86,7 +86,7 @@ def near_rows(seed=3):
     return rows
 
 
-@pytest.mark.parametrize("small,exact,block", [(32, False, 128), (4, True, 8)])
+@pytest.mark.parametrize("small,exact,block", [(32, False, 4096), (4, True, 8)])
 def test_minhash_is_brute_force(spark, small, exact, block, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", block)
     rows = near_rows()
