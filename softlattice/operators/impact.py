@@ -28,10 +28,10 @@ def impact_stats(df: DataFrame, layout: Layout, variables: Sequence[str], weight
     """
     k = len(layout.outcomes)
     y = text(layout.formula.outcome)
-    rows = df.where(complete(layout.formula.variables) & F.coalesce(y.isin(*layout.outcomes), F.lit(False))).withColumn("_w", weight(weight_col)).where("_w > 0")
+    rows = df.where(complete(layout.formula.variables) & F.coalesce(y.isin(*layout.outcomes), F.lit(False))).where(weight(weight_col, df) > 0)
     probs = F.col(predictions) if predictions else F.array(*[F.lit(1.0 / k)] * k)
     pairs = F.explode(F.array(*[F.struct(F.lit(v).alias("variable"), text(v).alias("level")) for v in variables])).alias("v")
-    rows = rows.select("_w", y.alias("_y"), probs.alias("_p"), pairs).select("_w", "_y", "_p", "v.variable", "v.level")
+    rows = rows.select(weight(weight_col, df).alias("_w"), y.alias("_y"), probs.alias("_p"), pairs).select("_w", "_y", "_p", "v.variable", "v.level")
     w, clip, aggs = F.col("_w"), CLIP / k, []
     for i, o in enumerate(layout.outcomes):
         p, mine = F.get("_p", F.lit(i)), F.col("_y") == o
@@ -41,11 +41,27 @@ def impact_stats(df: DataFrame, layout: Layout, variables: Sequence[str], weight
             F.sum(F.when(mine, up).otherwise(0.0)).alias("rc"), F.sum(F.when(mine, w * p).otherwise(0.0)).alias("pc"),
         ))
     by = rows.groupBy("variable", "level").agg(F.sum("_w").alias("n"), F.array(*aggs).alias("o")).select("variable", "level", "n", F.explode("o").alias("o")).select("variable", "level", "n", "o.*")
-    # Each outcome's weight and the total: the same for every variable, so from its own levels' sums.
+    return _with_whole(by)
+
+
+def _with_whole(by: DataFrame) -> DataFrame:
+    """Adds each outcome's weight and the total: the same for every variable, so from its own levels' sums."""
     whole = by.groupBy("variable", "outcome").agg(F.sum("nc").alias("outcome_weight"), F.sum("n").alias("total_weight"))
     return by.join(F.broadcast(whole), ["variable", "outcome"])
 
 
+def merge_stats(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The statistics of the rows of both; a level that one lacks has none there."""
+    sums = [F.sum(c).alias(c) for c in ("n", "nc", "p", "r", "rc", "pc")]
+    return _with_whole(a.unionByName(b).groupBy("variable", "level", "outcome").agg(*sums))
+
+
+def print_codes(codes: DataFrame, rows: int = 100) -> str:
+    """The code table as tab-separated lines, ordered, `rows` of them at most (`codes` itself holds all)."""
+    got = codes.orderBy("variable", "level", "outcome", "code").limit(rows).collect()
+    return "\n".join(["\t".join(codes.columns), *("\t".join(map(str, r)) for r in got)])
+
+
 def impact_codes(stats: DataFrame, effect: DataFrame | None = None) -> DataFrame:
     """(variable, level, outcome, code, value); effect: (variable, level, outcome, effect) of the model before."""
     a = SMOOTH

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import complete, number, text, weight
+from ..functions.columns import complete, number, text, unused, weight
 from ..functions.formula import Formula
 from .schema import Schema
 
@@ -64,10 +64,10 @@ def layout_table(spark: SparkSession, layout: Layout) -> DataFrame:
     return spark.createDataFrame(rows, "variable string, kind string, level string, idx int")
 
 
-def _lookup(df: DataFrame, variable: str, table: list[tuple], ddl: str) -> DataFrame:
-    small = df.sparkSession.createDataFrame(table, f"_level string, {ddl}")
+def _lookup(df: DataFrame, variable: str, table: list[tuple], level: str, column: str, kind: str) -> DataFrame:
+    small = df.sparkSession.createDataFrame(table, f"`{level}` string, `{column}` {kind}")
     small = F.broadcast(small) if len(table) <= BROADCAST_LEVELS else small
-    return df.join(small, text(variable) == F.col("_level"), "left").drop("_level")
+    return df.join(small, text(variable) == F.col(level), "left").drop(level)
 
 
 def encode(df: DataFrame, layout: Layout, weight_col: str | None = None, keep: list[str] | None = None) -> DataFrame:
@@ -78,26 +78,27 @@ def encode(df: DataFrame, layout: Layout, weight_col: str | None = None, keep: l
     """
     f = layout.formula
     rows = df.where(complete(f.variables))
+    level, *found_in = unused(df.columns, ["level", *(f"c{i}" for i in range(len(layout.slots)))])
     num: list[Column] = []
     cat: list[Column] = []
     for i, s in enumerate(layout.slots):
         if s.kind == "const":
             num.append(F.array(F.lit(1.0)))
         elif s.kind == "numeric":
-            num.append(F.array(F.coalesce(number(s.variable), F.lit(0.0))))
+            num.append(F.array(F.coalesce(number(s.variable, df), F.lit(0.0))))
         elif s.kind == "levels":
-            rows = _lookup(rows, s.variable, [(n, s.start + j) for j, n in enumerate(s.names)], f"_c{i} int")
-            cat.append(F.coalesce(F.col(f"_c{i}"), F.lit(-1)))
+            rows = _lookup(rows, s.variable, [(n, s.start + j) for j, n in enumerate(s.names)], level, found_in[i], "int")
+            cat.append(F.coalesce(F.col(found_in[i]), F.lit(-1)))
         else:
-            rows = _lookup(rows, s.variable, [(n, list(v)) for n, v in s.codes.items()], f"_c{i} array<double>")
-            num.append(F.coalesce(F.col(f"_c{i}"), F.array(*[F.lit(0.0)] * len(s.names)).cast("array<double>")))
+            rows = _lookup(rows, s.variable, [(n, list(v)) for n, v in s.codes.items()], level, found_in[i], "array<double>")
+            num.append(F.coalesce(F.col(found_in[i]), F.array(*[F.lit(0.0)] * len(s.names)).cast("array<double>")))
     found = F.lit(-1)
     if f.outcome in df.columns:
         for c, o in enumerate(layout.outcomes):
             found = F.when(text(f.outcome) == o, c).otherwise(found)
     flat = F.flatten(F.array(*num)) if num else F.array().cast("array<double>")
     cats = F.array(*cat) if cat else F.array().cast("array<int>")
-    return rows.select(*(keep or []), found.cast("int").alias("category"), weight(weight_col).alias("weight"), flat.alias("num"), cats.alias("cat"))
+    return rows.select(*(keep or []), found.cast("int").alias("category"), weight(weight_col, df).alias("weight"), flat.alias("num"), cats.alias("cat"))
 
 
 def dense_columns(layout: Layout) -> list[int]:

@@ -1,17 +1,21 @@
 """The objective: log-likelihood, gradient and Hessian as one partition-parallel aggregation, and the penalty.
 
 Maximised: f = sum w ln p_c, p the softmax of the K blocks' scores.  Each
-partition gives one packed partial; they are added on the cluster in two levels
-and in partition order, so sums do not depend on timing.
+partition gives one packed partial; groups of about the square root of their
+number are added on the cluster, then the groups' sums, one after another in
+partition order, so a task holds two of them, the driver gets one, and sums do
+not depend on timing.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .layout import Layout, dense_columns
 
@@ -30,6 +34,22 @@ class Eval:
         return Eval(self.x, self.f + o.f, both(self.g, o.g), both(self.h, o.h))
 
 
+    def pack(self) -> np.ndarray:
+        """f, the gradient and the upper triangle of the Hessian as one vector."""
+        none = np.zeros(0)
+        return np.concatenate([[self.f], none if self.g is None else self.g, none if self.h is None else self.h[np.triu_indices(len(self.h))]])
+
+    @staticmethod
+    def unpack(x: np.ndarray, packed: np.ndarray, grad: bool, hess: bool) -> Eval:
+        """Reads back what `pack` wrote."""
+        n, h = len(x), None
+        if hess:
+            h = np.zeros((n, n))
+            h[np.triu_indices(n)] = packed[1 + n * grad :]
+            h = h + np.triu(h, 1).T
+        return Eval(np.asarray(x, float), float(packed[0]), packed[1 : 1 + n] if grad else None, h)
+
+
 def design(num: np.ndarray, cat: np.ndarray, dense: list[int], width: int) -> np.ndarray:
     """Dense rows of the layout's columns."""
     x = np.zeros((len(num), width))
@@ -69,6 +89,7 @@ class DataObjective:
 
     def __init__(self, encoded: DataFrame, layout: Layout):
         self.rows, self.layout = encoded.where("category >= 0 and weight > 0"), layout
+        self.groups = math.isqrt(max(encoded.rdd.getNumPartitions(), 1))
 
     @property
     def dims(self) -> int:
@@ -94,26 +115,26 @@ class DataObjective:
                         j = slice(i, i + step)
                         a, bb, c = batch_terms(design(num[j], cat[j], dense, d), y[j], w[j], beta.value, grad, hess)
                         f, g, h = f + a, g + bb, h + c
-            packed = np.concatenate([[f], g, h[np.triu_indices(len(h))]])
+            packed = Eval(x, f, g if grad else None, h if hess else None).pack()
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([packed.tolist()], pa.list_(pa.float64()))], names=["part", "v"])
 
-        def add(batches):  # second level: partials of some partitions to one
-            got = sorted(((p, v) for b in batches for p, v in zip(b.column("part").to_pylist(), b.column("v"), strict=True)), key=lambda t: t[0])
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array([got[0][0]], pa.int32()), pa.array([sum(np.asarray(v.values) for _, v in got).tolist()], pa.list_(pa.float64()))], names=["part", "v"])
+        def add(batches):
+            first, total = None, None
+            for b in batches:
+                for p, v in zip(b.column("part").to_pylist(), b.column("v"), strict=True):
+                    first, total = (p, np.array(v.values)) if total is None else (first, total + np.asarray(v.values))
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([first], pa.int32()), pa.array([total.tolist()], pa.list_(pa.float64()))], names=["part", "v"])
 
         out = self.rows.select("category", "weight", "num", "cat").mapInArrow(run, "part int, v array<double>")
-        if k * d > 64:
-            out = out.repartition(16, "part").mapInArrow(add, "part int, v array<double>")
-        parts = [np.asarray(r[1]) for r in sorted(out.collect())]
-        total = sum(parts) if parts else np.zeros(1 + (k * d) * grad + (k * d * (k * d + 1) // 2) * hess)
-        g = total[1 : 1 + k * d] if grad else None
-        h = None
-        if hess:
-            h = np.zeros((k * d, k * d))
-            h[np.triu_indices(k * d)] = total[1 + k * d * grad :]
-            h = h + np.triu(h, 1).T
-        return Eval(np.asarray(x, float), float(total[0]), g, h)
+        for n in sorted({self.groups, 1}, reverse=True):
+            out = out.repartition(n, F.col("part")).sortWithinPartitions("part").mapInArrow(add, "part int, v array<double>")
+        row = out.first()
+        total = None if row is None else np.asarray(row[1])
+        beta.destroy()
+        if total is None:
+            total = np.zeros(1 + (k * d) * grad + (k * d * (k * d + 1) // 2) * hess)
+        return Eval.unpack(np.asarray(x, float), total, grad, hess)
 
 
 class NormPenalty:

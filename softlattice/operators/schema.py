@@ -30,7 +30,7 @@ def complete_rows(df: DataFrame, formula: Formula) -> DataFrame:
 def infer_kinds(df: DataFrame, formula: Formula) -> DataFrame:
     """(variable, kind): numeric unless a complete row holds something else; forced kinds stand."""
     rows = complete_rows(df, formula)
-    one = rows.agg(*[F.coalesce(F.bool_and(number(v).isNotNull()), F.lit(True)).alias(v) for v in formula.variables])
+    one = rows.agg(*[F.coalesce(F.bool_and(number(v, df).isNotNull()), F.lit(True)).alias(v) for v in formula.variables])
     kind = lambda v: "numeric" if v in formula.numeric else "categorical" if v in formula.categorical else None
     structs = [F.struct(F.lit(v).alias("variable"), F.lit(kind(v)).alias("kind") if kind(v) else F.when(F.col(f"`{v}`"), "numeric").otherwise("categorical").alias("kind")) for v in formula.variables]
     return one.select(F.explode(F.array(*structs)).alias("s")).select("s.variable", "s.kind")
@@ -87,7 +87,7 @@ def schema_report(schema: Schema, limit: int = 10) -> str:
 
 
 def positive_weight(df: DataFrame, name: str | None) -> DataFrame:
-    return df.where(weight(name) > 0)
+    return df.where(weight(name, df) > 0)
 
 
 def known_outcome(df: DataFrame, formula: Formula, outcomes) -> DataFrame:

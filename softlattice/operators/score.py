@@ -5,73 +5,85 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import argmax, complete, exp_scale, number, text
+from ..functions.columns import complete, number, softmax, text, unused, weight
 from .layout import BROADCAST_LEVELS, Layout, effects
 
 
-def margins(df: DataFrame, layout: Layout, x) -> DataFrame:
-    """Adds `_s`, the array of the outcomes' scores, to the complete rows."""
-    k, d = len(layout.outcomes), layout.width
+def _probabilities(df: DataFrame, layout: Layout, x) -> tuple[DataFrame, list[str]]:
+    """The complete rows with a column of probability for each outcome, and these columns' names, which df does not have."""
+    k, d, columns = len(layout.outcomes), layout.width, df.columns
+    level, total, *names = unused(columns, ["level", "total", *(f"p{c}" for c in range(k)), *(f"e{i}" for i in range(len(layout.slots)))])
+    probs, effect = names[:k], names[k:]
     df = df.where(complete(layout.formula.variables))
-    total = [F.lit(0.0)] * k
+    scores = [F.lit(0.0)] * k
     eff: dict[str, dict[str, list[float]]] = {}
-    for v, c, level, value in effects(layout, x):
-        eff.setdefault(v, {}).setdefault(level, [0.0] * k)[c] = value
+    for v, c, lv, value in effects(layout, x):
+        eff.setdefault(v, {}).setdefault(lv, [0.0] * k)[c] = value
     for i, s in enumerate(layout.slots):
         if s.kind == "const":
-            total = [t + float(x[c * d + s.start]) for c, t in enumerate(total)]
+            scores = [t + float(x[c * d + s.start]) for c, t in enumerate(scores)]
         elif s.kind == "numeric":
-            total = [t + F.coalesce(number(s.variable), F.lit(0.0)) * float(x[c * d + s.start]) for c, t in enumerate(total)]
+            scores = [t + F.coalesce(number(s.variable, df), F.lit(0.0)) * float(x[c * d + s.start]) for c, t in enumerate(scores)]
         else:
-            table = df.sparkSession.createDataFrame(list(eff[s.variable].items()), f"_level string, _e{i} array<double>")
+            table = df.sparkSession.createDataFrame(list(eff[s.variable].items()), f"`{level}` string, `{effect[i]}` array<double>")
             table = F.broadcast(table) if len(eff[s.variable]) <= BROADCAST_LEVELS else table
-            df = df.join(table, text(s.variable) == F.col("_level"), "left").drop("_level")
-            total = [t + F.coalesce(F.get(f"_e{i}", F.lit(c)), F.lit(0.0)) for c, t in enumerate(total)]
-    return df.withColumn("_s", F.array(*total)).drop(*[f"_e{i}" for i in range(len(layout.slots))])
+            df = df.join(table, text(s.variable) == F.col(level), "left").drop(level)
+            scores = [t + F.coalesce(F.get(effect[i], F.lit(c)), F.lit(0.0)) for c, t in enumerate(scores)]
+    df = df.select(*[f"`{c}`" for c in columns], *[t.alias(p) for t, p in zip(scores, probs, strict=True)])
+    return softmax(df, probs, probs, total), probs
 
 
-def predict(df: DataFrame, layout: Layout, x) -> DataFrame:
-    """Adds `_p`, the array of probabilities."""
-    rows = margins(df, layout, x)
-    return rows.withColumn("_p", exp_scale(F.col("_s"))).drop("_s")
+def predict(df: DataFrame, layout: Layout, x, column: str = "_p") -> DataFrame:
+    """Adds `column`, the array of probabilities; an input column of that name is replaced."""
+    rows, probs = _probabilities(df, layout, x)
+    return rows.withColumn(column, F.array(*probs)).drop(*probs)
 
 
 def score(df: DataFrame, layout: Layout, x, prefix: str = "model.predict") -> DataFrame:
     """A probability column an outcome, the chosen outcome and its probability, then the input columns; incomplete rows are left out."""
     y = layout.formula.outcome
-    rows = predict(df, layout, x)
-    names = F.array(*[F.lit(o) for o in layout.outcomes])
-    probs = [F.get("_p", F.lit(i)).alias(f"{prefix}.{y}.{o}") for i, o in enumerate(layout.outcomes)]
-    chosen = F.get(names, argmax(F.col("_p"))).alias("model.chosen.Outcome")
-    return rows.select(*probs, chosen, F.array_max("_p").alias(f"{prefix}.Outcome"), *[f"`{c}`" for c in df.columns])
+    rows, probs = _probabilities(df, layout, x)
+    (best,) = unused(rows.columns, ["best"])
+    rows = rows.withColumn(best, F.greatest(*probs) if len(probs) > 1 else F.col(probs[0]))
+    chosen = F.lit(layout.outcomes[-1])
+    for p, o in reversed(list(zip(probs, layout.outcomes, strict=True))):  # the first of equals
+        chosen = F.when(F.col(p) == F.col(best), o).otherwise(chosen)
+    named = [F.col(p).alias(f"{prefix}.{y}.{o}") for p, o in zip(probs, layout.outcomes, strict=True)]
+    return rows.select(*named, chosen.alias("model.chosen.Outcome"), F.col(best).alias(f"{prefix}.Outcome"), *[f"`{c}`" for c in df.columns])
 
 
 def score_by_key(df: DataFrame, layout: Layout, x, key: str) -> DataFrame:
-    """`File.Offset` (a padded key), the chosen outcome, its probability, all probabilities and the input, in key order."""
+    """`File.Offset` (the key, an integer, padded to 12 digits and never cut), the chosen outcome, its probability, all probabilities and the input, in key order."""
     y = layout.formula.outcome
     s = score(df, layout, x)
-    at = F.concat(F.lit("Offset."), F.lpad(F.col(f"`{key}`").cast("string"), 12, "0")).alias("File.Offset")
+    digits = F.col(f"`{key}`").cast("long").cast("string")
+    at = F.concat(F.lit("Offset."), F.when(F.length(digits) < 12, F.lpad(digits, 12, "0")).otherwise(digits)).alias("File.Offset")
     probs = [F.col(f"`model.predict.{y}.{o}`").alias(f"predict.{y}.{o}.score") for o in layout.outcomes]
-    return s.select(at, F.col("`model.chosen.Outcome`").alias(f"predict.{y}"), F.col("`model.predict.Outcome`").alias(f"predict.{y}.score"), *probs, *[f"`{c}`" for c in df.columns]).orderBy(F.col("`File.Offset`"))
+    out = s.orderBy(F.col(f"`{key}`").cast("long"))
+    return out.select(at, F.col("`model.chosen.Outcome`").alias(f"predict.{y}"), F.col("`model.predict.Outcome`").alias(f"predict.{y}.score"), *probs, *[f"`{c}`" for c in df.columns])
 
 
-def _judged(scored: DataFrame, layout: Layout) -> DataFrame:
+def _judged(scored: DataFrame, layout: Layout, weight_col: str | None = None) -> DataFrame:
     y = text(layout.formula.outcome)
-    return scored.where(F.coalesce(y.isin(*layout.outcomes), F.lit(False))).select(F.col("`model.chosen.Outcome`").alias("predicted"), y.alias("actual"))
+    rows = scored.where(F.coalesce(y.isin(*layout.outcomes), F.lit(False))).where(weight(weight_col, scored) > 0)
+    return rows.select(F.col("`model.chosen.Outcome`").alias("predicted"), y.alias("actual"))
 
 
-def accuracy(scored: DataFrame, layout: Layout) -> DataFrame:
-    """n_right, n and accuracy over rows of known outcome; NaN without any."""
+def accuracy(scored: DataFrame, layout: Layout, weight_col: str | None = None) -> DataFrame:
+    """n_right, n and accuracy over rows of known outcome (and of a weight above 0); NaN without any."""
     n, right = F.count("*"), F.coalesce(F.count_if(F.col("predicted") == F.col("actual")), F.lit(0))
-    return _judged(scored, layout).agg(right.alias("n_right"), n.alias("n"), F.when(n > 0, right / n).otherwise(float("nan")).alias("accuracy"))
+    return _judged(scored, layout, weight_col).agg(right.alias("n_right"), n.alias("n"), F.when(n > 0, right / n).otherwise(float("nan")).alias("accuracy"))
 
 
 def confusion_matrix(scored: DataFrame, layout: Layout) -> DataFrame:
-    """(predicted, actual, n) for all pairs of outcomes, zeros included."""
-    names = F.array(*[F.lit(o) for o in layout.outcomes])
-    cells = scored.sparkSession.range(1).select(F.explode(names).alias("predicted")).select("predicted", F.explode(names).alias("actual"))
-    counts = _judged(scored, layout).groupBy("predicted", "actual").agg(F.count("*").alias("n"))
-    return cells.join(counts, ["predicted", "actual"], "left").select("predicted", "actual", F.coalesce("n", F.lit(0)).alias("n"))
+    """(predicted, actual, n) for all pairs of outcomes, zeros included.
+
+    Pairs that no row has are added as rows of 0 to the counts, not joined: a join
+    would have Spark test the chosen outcome for null below the scores.
+    """
+    none = [(a, b, 0) for a in layout.outcomes for b in layout.outcomes]
+    cells = scored.sparkSession.createDataFrame(none, "predicted string, actual string, n long")
+    return marginals(scored, layout).union(cells).groupBy("predicted", "actual").agg(F.sum("n").alias("n"))
 
 
 def marginals(scored: DataFrame, layout: Layout) -> DataFrame:
