@@ -1 +1 @@
-"""A PySpark-native engine for regularised multinomial logistic models over tables."""
+"""A PySpark-native engine for regularised softmax models over tables."""

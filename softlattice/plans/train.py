@@ -17,9 +17,11 @@ from ..operators.objective import DataObjective, NormPenalty, SumFn, all_but_con
 from ..operators.schema import Schema, schema_scan
 from ..operators.score import predict
 from .optim import conjugate_gradient, newton
+from .progress import Ticking
 
-#: Above so many coefficients the Hessian is not formed; conjugate gradients take over.
+#: Coefficients up to which Newton's method is the default; it forms their Hessian, 8 bytes a pair, in every task.
 MAX_NEWTON = 3000
+METHODS = ("newton", "cg")
 
 
 @dataclass
@@ -55,22 +57,27 @@ def objective(df: DataFrame, layout: Layout, weight_col: str | None, strength: f
     return SumFn(DataObjective(encoded, layout), NormPenalty(layout.dims, strength, m)), encoded
 
 
-def _maximise(fn, x0, rounds: int):
-    return newton(fn, x0, rounds) if fn.dims <= MAX_NEWTON else conjugate_gradient(fn, x0, 10 * rounds)
+def _maximise(fn, x0, rounds: int, method: str | None):
+    """method: newton or cg; by default newton where its Hessian is of MAX_NEWTON rows at most.  Both climb the same concave function."""
+    method = method or ("newton" if fn.dims <= MAX_NEWTON else "cg")
+    if method not in METHODS:
+        raise ValueError(f"method is one of {METHODS}: {method!r}")
+    fn = Ticking(fn, f"fit by {method}")
+    return newton(fn, x0, rounds) if method == "newton" else conjugate_gradient(fn, x0, 10 * rounds)
 
 
-def train(df: DataFrame, formula: Formula | str, weight_col: str | None = None, strength: float = 1e-5, max_rounds: int = 10, mask: str = "all_but_const", schema: Schema | None = None) -> Model:
-    """Two schema scans, then Newton on the penalised log-likelihood."""
+def train(df: DataFrame, formula: Formula | str, weight_col: str | None = None, strength: float = 1e-5, max_rounds: int = 10, mask: str = "all_but_const", schema: Schema | None = None, method: str | None = None) -> Model:
+    """Two schema scans, then Newton (or conjugate gradients, see `_maximise`) on the penalised log-likelihood."""
     formula = Formula.parse(formula) if isinstance(formula, str) else formula
     df = _needed(df, formula, weight_col)
     layout = make_layout(formula, schema or schema_scan(df, formula))
     fn, encoded = objective(df, layout, weight_col, strength, mask)
-    best = _maximise(fn, np.zeros(layout.dims), max_rounds)
+    best = _maximise(fn, np.zeros(layout.dims), max_rounds, method)
     encoded.unpersist()
     return Model(layout, best.x, {"strength": strength, "objective": best.f})
 
 
-def train_plus(df: DataFrame, formula: Formula | str, weight_col: str | None = None, strength: float = 1e-5, max_levels: int = 100, passes: int = 5, max_rounds: int = 20, polish: bool = False, mask: str = "all_but_const") -> Model:
+def train_plus(df: DataFrame, formula: Formula | str, weight_col: str | None = None, strength: float = 1e-5, max_levels: int = 100, passes: int = 5, max_rounds: int = 20, polish: bool = False, mask: str = "all_but_const", method: str | None = None) -> Model:
     """Variables of over max_levels levels are impact-coded and refitted for some passes; the result is in one-hot terms."""
     formula = Formula.parse(formula) if isinstance(formula, str) else formula
     df = _needed(df, formula, weight_col)
@@ -78,7 +85,7 @@ def train_plus(df: DataFrame, formula: Formula | str, weight_col: str | None = N
     plain = make_layout(formula, schema)
     wide = [v for v, levels in schema.levels.items() if len(levels) > max_levels]
     if not wide:
-        return train(df, formula, weight_col, strength, max_rounds, mask, schema)
+        return train(df, formula, weight_col, strength, max_rounds, mask, schema, method)
     layout = x = fitted = None
     for _ in range(passes):
         if layout is None:
@@ -92,7 +99,7 @@ def train_plus(df: DataFrame, formula: Formula | str, weight_col: str | None = N
             new = make_layout(formula, schema, coded)
             x0 = np.array(warm_start(layout, x, new))
         fn, encoded = objective(df, new, weight_col, strength, mask)
-        best = _maximise(fn, x0, max_rounds)
+        best = _maximise(fn, x0, max_rounds, method)
         encoded.unpersist()
         if fitted is not None and best.f - fitted <= max(1.0, best.f) * 1e-3:
             if best.f > fitted:

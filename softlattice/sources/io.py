@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import gzip
+import math
 import struct
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,10 +16,15 @@ from ..operators.score import score, score_by_key
 from ..plans.train import Model
 
 
+#: Least and greatest bytes of a text split.
+SPLIT = (4 << 10, 4 << 20)
+
+
 def read_delimited(spark: SparkSession, path: str, sep: str = "\t", split_bytes: int | None = None) -> DataFrame:
-    """Header line and rows of text; blank lines are dropped.  split_bytes sets the size of a task's input."""
+    """Header line and rows of text; blank lines are dropped.  split_bytes: the size of a task's input, see `read_offsets`."""
     if split_bytes:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", str(split_bytes))
+        header = read_header(spark, path, sep)
+        return line_burst(read_offsets(spark, path, split_bytes), header, sep)
     return spark.read.option("header", True).option("sep", sep[0]).option("inferSchema", False).csv(path)
 
 
@@ -27,15 +33,36 @@ def read_header(spark: SparkSession, path: str, sep: str = "\t") -> list[str]:
     return row[0].split(sep) if row else []
 
 
+def read_offsets(spark: SparkSession, path: str, split_bytes: int = SPLIT[1]) -> DataFrame:
+    """(offset, value): every line and the byte of its file at which it begins.
+
+    Only Hadoop's line reader knows offsets, so this one source is an RDD; its
+    splits are of split_bytes, held between 4 KB and 4 MB, and no session setting
+    is changed.
+    """
+    size = str(min(max(split_bytes, SPLIT[0]), SPLIT[1]))
+    name = "mapreduce.input.fileinputformat.split."
+    lines = spark.sparkContext.newAPIHadoopFile(
+        path, "org.apache.hadoop.mapreduce.lib.input.TextInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.Text",
+        conf={name + "maxsize": size, name + "minsize": str(SPLIT[0])}, batchSize=1000,
+    )
+    return spark.createDataFrame(lines, "offset long, value string")
+
+
 def line_burst(lines: DataFrame, header: list[str], sep: str = "\t") -> DataFrame:
-    """Lines of a `value` column into named fields; the header line and blank lines are left out."""
+    """Lines of a `value` column into named fields, with an `offset` column if there is one; the header line and blank lines are left out."""
     parts = F.split("value", sep if sep == "\t" else f"\\Q{sep}\\E", -1)
     rows = lines.where((F.length(F.trim("value")) > 0) & (F.col("value") != sep.join(header)))
-    return rows.select(*[F.get(parts, F.lit(i)).alias(h) for i, h in enumerate(header)])
+    key = [c for c in lines.columns if c == "offset" and c not in header]
+    return rows.select(*key, *[F.get(parts, F.lit(i)).alias(h) for i, h in enumerate(header)])
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, formula: Formula, weight_col: str | None = None, **options) -> DataFrame:
-    """A database table, only the formula's columns (and the weight's)."""
+    """A database table, only the formula's columns (and the weight's).
+
+    options are Spark's; partitionColumn, lowerBound, upperBound and numPartitions
+    split the read into as many tasks, else it is one.
+    """
     cols = [*formula.terms(), *([weight_col] if weight_col else [])]
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load().select(*cols)
 
@@ -46,13 +73,20 @@ def memory_source(spark: SparkSession, rows: list[dict]) -> DataFrame:
 
 
 def gen_synthetic(spark: SparkSession, n: int = 1_000_000, variables: int = 10, levels: int = 10, seed: int = 1) -> DataFrame:
-    """Result and V0.. with gaussian level effects, a threshold and noise."""
-    pick = [F.floor(F.rand(seed + i) * levels).cast("int") for i in range(variables)]
-    rows = spark.range(n).select(*[p.alias(f"i{i}") for i, p in enumerate(pick)], F.randn(seed + 999).alias("noise"))
-    effect = [F.pmod(F.xxhash64(F.lit(i), F.col(f"i{i}")), F.lit(2001)) / 1000.0 - 1.0 for i in range(variables)]
-    total = sum(effect[1:], effect[0])
+    """id, Result and V0.. with gaussian level effects, a threshold and gaussian noise.
+
+    Every number is drawn from the md5 of seed, use and row (or variable and
+    level), so rows are the same however they are partitioned or computed again.
+    """
+    draw = lambda *of: (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *of).cast("binary")), 1, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
+    gauss = lambda *of: F.sqrt(-2 * F.log(draw(F.lit("r"), *of))) * F.cos(2 * math.pi * draw(F.lit("a"), *of))
+    rows = spark.range(n).select("id", *[F.floor(draw(F.lit("v"), F.lit(i), "id") * levels).cast("int").alias(f"i{i}") for i in range(variables)])
+    table = spark.range(variables * levels).select((F.col("id") % variables).cast("int").alias("v"), F.floor(F.col("id") / variables).cast("int").alias("l"))
+    effects = table.select("v", "l", gauss(F.lit("e"), "v", "l").alias("e")).orderBy("v", "l").collect()  # variables x levels numbers
+    of = [F.array(*[F.lit(r.e) for r in effects if r.v == i])[F.col(f"i{i}")] for i in range(variables)]
     names = [F.concat(F.lit(f"V{i}L"), F.col(f"i{i}").cast("string")).alias(f"V{i}") for i in range(variables)]
-    return rows.select(((total + F.col("noise") * 0.5) > 0).cast("int").cast("string").alias("Result"), *names)
+    total = sum(of[1:], of[0]) + 0.5 * gauss(F.lit("n"), "id")
+    return rows.select("id", (total > 0).cast("int").cast("string").alias("Result"), *names)
 
 
 def _text_rows(df: DataFrame) -> DataFrame:
