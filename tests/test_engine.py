@@ -144,7 +144,7 @@ def test_state_and_vectors():
 
 
 def cars():
-    """All 1728 cars of six categoricals; a car is acceptable by a rule that no single variable tells, with and that a linear model of their levels can say."""
+    """All 1728 cars of six categoricals; a car is acceptable by a rule that no single variable tells and a linear model of all levels can say."""
     rows = []
     for buying, upkeep, doors, persons, boot, safety in itertools.product(range(4), range(4), range(4), range(3), range(3), range(3)):
         good = persons > 0 and safety > 0 and buying + upkeep <= 2 + safety + (boot > 0) * (persons > 1) + (doors > 0)
