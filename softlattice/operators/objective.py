@@ -15,9 +15,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .layout import Layout, dense_columns
+from .reduce import in_tree
 
 
 @dataclass
@@ -61,16 +61,29 @@ def design(num: np.ndarray, cat: np.ndarray, dense: list[int], width: int) -> np
     return x
 
 
-def batch_terms(x: np.ndarray, y: np.ndarray, w: np.ndarray, beta: np.ndarray, grad: bool, hess: bool) -> tuple[float, np.ndarray, np.ndarray]:
+def fast_exp(x: np.ndarray) -> np.ndarray:
+    """About e^x: 2^floor(t) (1 + t - floor(t)) for t = x / ln 2, written straight into a double's bits; 0 to 6.2 % too large.
+
+    Below 2^-1022 it is 0, above the largest double infinite; NaN stays.
+    """
+    t = np.asarray(x, float) / np.log(2.0)
+    bits = (np.clip(np.nan_to_num(t), -1022, 1023) + 1023) * 2.0**52
+    out = bits.astype(np.int64).view(float)
+    return np.where(np.isnan(t), np.nan, np.where(t < -1022, 0.0, np.where(t >= 1024, np.inf, out)))
+
+
+def batch_terms(x: np.ndarray, y: np.ndarray, w: np.ndarray, beta: np.ndarray, grad: bool, hess: bool, exp=np.exp) -> tuple[float, np.ndarray, np.ndarray]:
     """f, g and H of some rows; beta is K x d."""
     k, d = beta.shape
     s = x @ beta.T
     s -= s.max(1, keepdims=True)
-    z = np.log(np.exp(s).sum(1))
+    e = exp(s)
+    total = e.sum(1)
+    z = np.log(total)
     f = float((w * (s[np.arange(len(y)), y] - z)).sum())
     g, h = np.zeros(k * d if grad else 0), np.zeros((k * d, k * d) if hess else (0, 0))
     if grad or hess:
-        p = np.exp(s - z[:, None])
+        p = e / total[:, None]
         if grad:
             r = -p * w[:, None]
             r[np.arange(len(y)), y] += w
@@ -85,9 +98,13 @@ def batch_terms(x: np.ndarray, y: np.ndarray, w: np.ndarray, beta: np.ndarray, g
 
 
 class DataObjective:
-    """The data term over an encoded DataFrame (see `encode`); each evaluation is one Spark job."""
+    """The data term over an encoded DataFrame (see `encode`); each evaluation is one Spark job.
+
+    approximate: with `fast_exp`, whose value and gradient do not fit each other exactly.
+    """
 
-    def __init__(self, encoded: DataFrame, layout: Layout):
+    def __init__(self, encoded: DataFrame, layout: Layout, approximate: bool = False):
+        self.exp = fast_exp if approximate else np.exp
         self.rows, self.layout = encoded.where("category >= 0 and weight > 0"), layout
         self.groups = math.isqrt(max(encoded.rdd.getNumPartitions(), 1))
 
@@ -98,7 +115,7 @@ class DataObjective:
     def __call__(self, x: np.ndarray, grad: bool = True, hess: bool = True) -> Eval:
         spark, lay = self.rows.sparkSession, self.layout
         k, d, dense = len(lay.outcomes), lay.width, dense_columns(lay)
-        beta = spark.sparkContext.broadcast(np.asarray(x, float).reshape(k, d))
+        beta, exp = spark.sparkContext.broadcast(np.asarray(x, float).reshape(k, d)), self.exp
 
         def run(batches):
             from pyspark import TaskContext
@@ -113,7 +130,7 @@ class DataObjective:
                     step = max(256, 4_000_000 // max(d, 1))
                     for i in range(0, n, step):
                         j = slice(i, i + step)
-                        a, bb, c = batch_terms(design(num[j], cat[j], dense, d), y[j], w[j], beta.value, grad, hess)
+                        a, bb, c = batch_terms(design(num[j], cat[j], dense, d), y[j], w[j], beta.value, grad, hess, exp)
                         f, g, h = f + a, g + bb, h + c
             packed = Eval(x, f, g if grad else None, h if hess else None).pack()
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([packed.tolist()], pa.list_(pa.float64()))], names=["part", "v"])
@@ -127,9 +144,7 @@ class DataObjective:
                 yield pa.RecordBatch.from_arrays([pa.array([first], pa.int32()), pa.array([total.tolist()], pa.list_(pa.float64()))], names=["part", "v"])
 
         out = self.rows.select("category", "weight", "num", "cat").mapInArrow(run, "part int, v array<double>")
-        for n in sorted({self.groups, 1}, reverse=True):
-            out = out.repartition(n, F.col("part")).sortWithinPartitions("part").mapInArrow(add, "part int, v array<double>")
-        row = out.first()
+        row = in_tree(out, self.groups, add).first()
         total = None if row is None else np.asarray(row[1])
         beta.destroy()
         if total is None:

@@ -50,11 +50,11 @@ def _needed(df: DataFrame, formula: Formula, weight_col: str | None) -> DataFram
     return df.select(*[f"`{c}`" for c in dict.fromkeys([*formula.terms(), *([weight_col] if weight_col else [])])])
 
 
-def objective(df: DataFrame, layout: Layout, weight_col: str | None, strength: float, mask: str = "all_but_const"):
+def objective(df: DataFrame, layout: Layout, weight_col: str | None, strength: float, mask: str = "all_but_const", approximate: bool = False):
     """Data term and penalty; the encoded rows are cached, since every step scans them."""
     encoded = encode(df, layout, weight_col).persist()
     m = all_but_const(layout) if mask == "all_but_const" else None
-    return SumFn(DataObjective(encoded, layout), NormPenalty(layout.dims, strength, m)), encoded
+    return SumFn(DataObjective(encoded, layout, approximate), NormPenalty(layout.dims, strength, m)), encoded
 
 
 def _maximise(fn, x0, rounds: int, method: str | None):
@@ -66,12 +66,12 @@ def _maximise(fn, x0, rounds: int, method: str | None):
     return newton(fn, x0, rounds) if method == "newton" else conjugate_gradient(fn, x0, 10 * rounds)
 
 
-def train(df: DataFrame, formula: Formula | str, weight_col: str | None = None, strength: float = 1e-5, max_rounds: int = 10, mask: str = "all_but_const", schema: Schema | None = None, method: str | None = None) -> Model:
-    """Two schema scans, then Newton (or conjugate gradients, see `_maximise`) on the penalised log-likelihood."""
+def train(df: DataFrame, formula: Formula | str, weight_col: str | None = None, strength: float = 1e-5, max_rounds: int = 10, mask: str = "all_but_const", schema: Schema | None = None, method: str | None = None, approximate: bool = False) -> Model:
+    """Two schema scans, then Newton (or conjugate gradients, see `_maximise`) on the penalised log-likelihood; approximate: by `fast_exp`."""
     formula = Formula.parse(formula) if isinstance(formula, str) else formula
     df = _needed(df, formula, weight_col)
     layout = make_layout(formula, schema or schema_scan(df, formula))
-    fn, encoded = objective(df, layout, weight_col, strength, mask)
+    fn, encoded = objective(df, layout, weight_col, strength, mask, approximate)
     best = _maximise(fn, np.zeros(layout.dims), max_rounds, method)
     encoded.unpersist()
     return Model(layout, best.x, {"strength": strength, "objective": best.f})

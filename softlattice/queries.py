@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions.columns import argmax, exp_scale, weight
 from .functions.formula import Formula
-from .operators import impact, layout, objective, schema, score
+from .operators import impact, layout, objective, reduce, schema, score
 from .plans import cli, optim
 from .plans.train import Model, train, train_plus
 from .sources import io
@@ -402,6 +402,33 @@ def _(spark, sf):
     return spark.createDataFrame([(round(both(np.array(lines_x()), False, False).f, 3),)], "f double")
 
 
+_TAX = "(-40 * l_tax / ln(2.0))"
+
+
+@query("fast_exp", f"select l_orderkey, l_linenumber, round(pow(2, floor({_TAX})) * (1 + {_TAX} - floor({_TAX})), 6) as e from lineitem")
+def _(spark, sf):
+    def run(batches):
+        for b in batches:
+            e = objective.fast_exp(-40 * b.column("l_tax").to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([b.column("l_orderkey"), b.column("l_linenumber"), pa.array(e)], names=["l_orderkey", "l_linenumber", "e"])
+
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_tax").mapInArrow(run, "l_orderkey long, l_linenumber int, e double")
+    return rows.withColumn("e", F.round("e", 6))
+
+
+@query("reduce_parallel", "select l_returnflag as flag, count(*) as n, max(l_extendedprice) as most from lineitem group by l_returnflag")
+def _(spark, sf):
+    def join(a, b):
+        return {f: (a.get(f, (0, 0.0))[0] + b.get(f, (0, 0.0))[0], max(x[f][1] for x in (a, b) if f in x)) for f in a.keys() | b.keys()}
+
+    def observe(state, batch):
+        by = pa.Table.from_batches([batch]).group_by("l_returnflag").aggregate([("l_extendedprice", "max"), ("l_extendedprice", "count")]).to_pylist()
+        return join(state, {r["l_returnflag"]: (r["l_extendedprice_count"], r["l_extendedprice_max"]) for r in by})
+
+    found = reduce.reduce_parallel(table(spark, sf, "lineitem").select("l_returnflag", "l_extendedprice"), dict, observe, join)
+    return spark.createDataFrame([(f, n, most) for f, (n, most) in sorted(found.items())], "flag string, n long, most double")
+
+
 @query("exp_scale", "select l_orderkey, l_linenumber, round(exp(l_tax) / (exp(l_tax) + exp(l_discount)), 6) as p from lineitem")
 def _(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.get(exp_scale(F.array("l_tax", "l_discount")), F.lit(0)), 6).alias("p"))

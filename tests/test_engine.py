@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from softlattice.functions.formula import Formula, FormulaError
-from softlattice.operators import impact, layout, objective, schema, score
+from softlattice.operators import impact, layout, objective, reduce, schema, score
 from softlattice.plans import cli, optim
 from softlattice.plans.progress import Ticker
 from softlattice.plans.train import Model, _maximise, train, train_plus
@@ -219,6 +219,35 @@ def test_objective_does_not_depend_on_partitions(spark):
     assert objective.DataObjective(layout.encode(df.limit(0), lay), lay)(x).f == 0
 
 
+def test_fast_exp():
+    x = np.linspace(-700, 700, 20_001)
+    ratio = objective.fast_exp(x) / np.exp(x)
+    assert ratio.min() > 1 - 1e-9 and ratio.max() < 1.0615
+    assert objective.fast_exp(np.array([-1e9, -np.inf, 0.0, 1e9, np.inf])).tolist() == [0.0, 0.0, 1.0, np.inf, np.inf] and np.isnan(objective.fast_exp(np.array([np.nan])))[0]
+
+
+def test_training_with_fast_exp_comes_near(spark):
+    df = spark.createDataFrame([(float(i % 7), float(i % 5), "p" if i % 7 + i % 3 > 4 else "q") for i in range(300)], "a double, b double, y string").coalesce(2)
+    exact, near = (train(df, "y ~ a + b", strength=0.01, approximate=x) for x in (False, True))
+    assert abs(right(df, exact) - right(df, near)) < 0.05
+
+
+def test_reductions_do_not_depend_on_partitions(spark):
+    df = spark.range(1000).selectExpr("id", "id % 7 as k")
+
+    def observe(state, batch):
+        return state[0] + batch.num_rows, max(state[1], max(batch.column("id").to_pylist()))
+
+    def merge(a, b):
+        return a[0] + b[0], max(a[1], b[1])
+
+    def start():
+        return 0, -1
+
+    assert {reduce.reduce_parallel(x, start, observe, merge) for x in (df.coalesce(1), df.repartition(13))} == {(1000, 999)}
+    assert reduce.reduce_parallel(df.where("id < 0"), start, observe, merge) == (0, -1)
+
+
 def test_progress_is_told_once_a_minute(caplog):
     now = [0.0]
     t = Ticker("x", clock=lambda: now[0])
