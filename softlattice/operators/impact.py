@@ -9,12 +9,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import replace
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import complete, text, weight
-from .layout import Layout, effects
+from ..sources.scratch import scratch
+from .layout import Layout, effects, slot_effects
 
 SMOOTH, CLIP = 0.5, 0.1
 #: Names of the codes, in their order within an outcome.
@@ -64,6 +67,13 @@ def print_codes(codes: DataFrame, rows: int = 100) -> str:
 
 def impact_codes(stats: DataFrame, effect: DataFrame | None = None) -> DataFrame:
     """(variable, level, outcome, code, value); effect: (variable, level, outcome, effect) of the model before."""
+    stats, value = _code_values(stats, effect)
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("code"), v.alias("value")) for c, v in value.items()])).alias("c")
+    return stats.select("variable", "level", "outcome", each).select("variable", "level", "outcome", "c.code", "c.value")
+
+
+def _code_values(stats: DataFrame, effect: DataFrame | None) -> tuple[DataFrame, dict[str, Column]]:
+    """The statistics, with the effects if there are any, and each code as an expression of them."""
     a = SMOOTH
     run, run_f = (F.col("rc") + a) / (F.col("nc") + a), (F.col("r") + a) / (F.col("n") + a)
     value = {
@@ -75,8 +85,7 @@ def impact_codes(stats: DataFrame, effect: DataFrame | None = None) -> DataFrame
     if effect is not None:
         stats = stats.join(effect, ["variable", "level", "outcome"], "left")
         value = {"effectTerm": F.coalesce("effect", F.lit(0.0))} | value
-    each = F.explode(F.array(*[F.struct(F.lit(c).alias("code"), v.alias("value")) for c, v in value.items()])).alias("c")
-    return stats.select("variable", "level", "outcome", each).select("variable", "level", "outcome", "c.code", "c.value")
+    return stats, value
 
 
 def impact_code_filter(codes: DataFrame) -> DataFrame:
@@ -87,7 +96,7 @@ def impact_code_filter(codes: DataFrame) -> DataFrame:
 
 
 def collect_codes(codes: DataFrame, outcomes: Sequence[str]) -> dict[str, tuple[tuple[str, ...], dict[str, tuple[float, ...]]]]:
-    """variable -> (code names, level -> values), as large as the level tables."""
+    """variable -> (code names, level -> values), as large as the level tables; `code_tables` leaves these on the cluster."""
     got: dict[str, dict[tuple[int, int], dict[str, float]]] = {}
     for v, level, o, code, value in codes.select("variable", "level", "outcome", "code", "value").collect():
         got.setdefault(v, {}).setdefault((outcomes.index(o), CODES.index(code)), {})[level] = value
@@ -99,6 +108,31 @@ def collect_codes(codes: DataFrame, outcomes: Sequence[str]) -> dict[str, tuple[
     return out
 
 
+def code_tables(stats: DataFrame, outcomes: Sequence[str], effect: DataFrame | None = None) -> dict[str, tuple[tuple[str, ...], DataFrame]]:
+    """variable -> (names, table (level, codes)) of the codes that `impact_code_filter` would leave; the driver gets one row a variable and outcome.
+
+    A row of the statistics gets all its codes as one array; the tables are Parquet files, so they are computed once.
+    """
+    spark = stats.sparkSession
+    stats, value = _code_values(stats, effect)
+    path = scratch(spark, "codes")
+    stats.select("variable", "level", "outcome", F.array(*value.values()).alias("v")).write.parquet(f"{path}/outcomes")
+    rows, known = spark.read.parquet(f"{path}/outcomes"), list(value)
+    norms = rows.groupBy("variable", "outcome").agg(*[F.sum(F.get("v", F.lit(i)) * F.get("v", F.lit(i))).alias(c) for i, c in enumerate(known)]).collect()
+    good: dict[str, list[tuple[int, int]]] = {}
+    for r in norms:
+        good.setdefault(r["variable"], []).extend((outcomes.index(r["outcome"]), CODES.index(c)) for c in known if r[c] is not None and r[c] > 1e-12)
+    out = {}
+    for n, v in enumerate(sorted(good)):
+        picked = sorted(good[v])
+        if picked:
+            of = rows.where(F.col("variable") == v).groupBy("level").agg(F.map_from_entries(F.collect_list(F.struct("outcome", "v"))).alias("of"))
+            codes = [F.coalesce(F.get(F.col("of")[outcomes[o]], F.lit(known.index(CODES[c]))), F.lit(0.0)) for o, c in picked]
+            of.select("level", F.array(*codes).alias("codes")).write.parquet(f"{path}/{n}")
+            out[v] = (tuple(f"{CODES[c]}_{outcomes[o]}" for o, c in picked), spark.read.parquet(f"{path}/{n}"))
+    return out
+
+
 def warm_start(old: Layout, x, new: Layout):
     """Coefficients in the new layout that predict as the old model: 1 on each outcome's own effectTerm, others copied."""
     out = [0.0] * new.dims
@@ -114,17 +148,37 @@ def warm_start(old: Layout, x, new: Layout):
     return out
 
 
-def translate(coded: Layout, x, plain: Layout):
-    """Coefficients in the one-hot layout that predict as the coded model."""
-    eff = {(v, c, level): value for v, c, level, value in effects(coded, x)}
-    out = [0.0] * plain.dims
-    for c in range(len(plain.outcomes)):
-        for s in plain.slots:
+def translate(coded: Layout, x, plain: Layout, tables: dict[str, np.ndarray] | None = None):
+    """Coefficients in the one-hot layout that predict as the coded model.
+
+    tables: of the variables whose codes are on the cluster, the effects (level x outcome) in the order of plain's names.
+    """
+    tables, k = tables or {}, len(plain.outcomes)
+    was, old = {s.variable: s for s in coded.slots}, np.asarray(x, float).reshape(k, coded.width)
+    out = np.zeros((k, plain.width))
+    for s in plain.slots:
+        t, to = was[s.variable], slice(s.start, s.start + len(s.names))
+        b = old[:, t.start : t.start + len(t.names)]
+        if s.variable in tables:
+            out[:, to] = tables[s.variable].T
+        elif t.kind != "codes":
+            out[:, to] = b
+        else:
+            codes = t.held()
             for i, n in enumerate(s.names):
-                out[c * plain.width + s.start + i] = eff.get((s.variable, c, n), 0.0)
-    return out
+                if n in codes:
+                    out[:, s.start + i] = [sum(v * w for v, w in zip(codes[n], row, strict=True)) for row in b.tolist()]
+    return out.ravel().tolist()
 
 
 def effect_table(spark, layout: Layout, x) -> DataFrame:
-    rows = [(v, level, layout.outcomes[c], e) for v, c, level, e in effects(layout, x) if v and math.isfinite(e)]
-    return spark.createDataFrame(rows, "variable string, level string, outcome string, effect double")
+    """(variable, level, outcome, effect) of the finite effects."""
+    here = replace(layout, slots=tuple(s if s.table is None else replace(s, codes={}, table=None) for s in layout.slots))
+    rows = [(v, level, layout.outcomes[c], e) for v, c, level, e in effects(here, x) if v and math.isfinite(e)]
+    out = spark.createDataFrame(rows, "variable string, level string, outcome string, effect double")
+    for s in layout.slots:
+        if s.table is not None:
+            pairs = F.explode(F.arrays_zip(F.array(*map(F.lit, layout.outcomes)).alias("outcome"), "effect")).alias("e")
+            more = slot_effects(spark, layout, x, s).select(F.lit(s.variable).alias("variable"), "level", pairs).select("variable", "level", "e.outcome", "e.effect")
+            out = out.union(more.where(F.abs("effect") < float("inf")))  # NaN is above infinity
+    return out

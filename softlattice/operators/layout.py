@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,19 +14,29 @@ from ..functions.formula import Formula
 from .schema import Schema
 
 KIND = {"const": "Const", "numeric": "Numeric", "levels": "CategoricalLevels", "codes": "CategoricalVectorEnc"}
-#: Levels up to this many are broadcast; larger tables are joined by a shuffle.
-BROADCAST_LEVELS = 200_000
+#: Tables of levels that hold up to so many numbers are broadcast; of larger ones Spark chooses the join.
+BROADCAST_VALUES = 1_000_000
 
 
 @dataclass(frozen=True)
 class Slot:
-    """A variable's columns [start, start + len(names)); codes: level -> values, for coded variables."""
+    """A variable's columns [start, start + len(names)).
+
+    codes: level -> values, for coded variables; table: the same on the cluster,
+    (level, codes array<double>), so that the driver holds no level.
+    """
 
     variable: str
     kind: str
     start: int
     names: tuple[str, ...]
     codes: dict[str, tuple[float, ...]] = field(default_factory=dict)
+    table: DataFrame | None = field(default=None, compare=False)
+
+    def held(self) -> dict[str, tuple[float, ...]]:
+        if self.table is not None:
+            raise ValueError(f"the codes of {self.variable} are on the cluster")
+        return self.codes
 
 
 @dataclass(frozen=True)
@@ -45,8 +57,8 @@ class Layout:
         return self.outcomes.index(outcome) if outcome in self.outcomes else -1
 
 
-def make_layout(formula: Formula, schema: Schema, coded: dict[str, tuple[tuple[str, ...], dict[str, tuple[float, ...]]]] | None = None) -> Layout:
-    """coded: variable -> (code names, level -> codes) for those that impact codes replace."""
+def make_layout(formula: Formula, schema: Schema, coded: dict[str, tuple[tuple[str, ...], dict[str, tuple[float, ...]] | DataFrame]] | None = None) -> Layout:
+    """coded: variable -> (code names, level -> codes or a table of them) for those that impact codes replace."""
     slots, at = [], 0
     todo = [("", "const", ("",), {})] if formula.intercept else []
     todo += [(v, "numeric", ("",), {}) for v in schema.numeric]
@@ -54,7 +66,7 @@ def make_layout(formula: Formula, schema: Schema, coded: dict[str, tuple[tuple[s
         names, codes = (coded or {}).get(v, (None, None))
         todo.append((v, "levels", levels, {}) if codes is None else (v, "codes", names, codes))
     for v, kind, names, codes in todo:
-        slots.append(Slot(v, kind, at, tuple(names), codes))
+        slots.append(Slot(v, kind, at, tuple(names), codes) if isinstance(codes, dict) else Slot(v, kind, at, tuple(names), {}, codes))
         at += len(names)
     return Layout(formula, schema.outcomes, tuple(slots))
 
@@ -66,8 +78,19 @@ def layout_table(spark: SparkSession, layout: Layout) -> DataFrame:
 
 def _lookup(df: DataFrame, variable: str, table: list[tuple], level: str, column: str, kind: str) -> DataFrame:
     small = df.sparkSession.createDataFrame(table, f"`{level}` string, `{column}` {kind}")
-    small = F.broadcast(small) if len(table) <= BROADCAST_LEVELS else small
-    return df.join(small, text(variable) == F.col(level), "left").drop(level)
+    values = sum(len(r[1]) if isinstance(r[1], list) else 1 for r in table)
+    return _joined(df, variable, F.broadcast(small) if values <= BROADCAST_VALUES else small, level)
+
+
+def _joined(df: DataFrame, variable: str, table: DataFrame, level: str) -> DataFrame:
+    return df.join(table, text(variable) == F.col(level), "left").drop(level)
+
+
+def join_effects(df: DataFrame, layout: Layout, x, slot: Slot, level: str, column: str) -> DataFrame:
+    """df with `column`, the array of the outcomes' effects of the level that slot's variable has; null for an unknown one."""
+    table = slot_effects(df.sparkSession, layout, x, slot).select(F.col("level").alias(level), F.col("effect").alias(column))
+    known = slot.names if slot.kind == "levels" else slot.codes
+    return _joined(df, slot.variable, F.broadcast(table) if slot.table is None and len(known) * len(layout.outcomes) <= BROADCAST_VALUES else table, level)
 
 
 def encode(df: DataFrame, layout: Layout, weight_col: str | None = None, keep: list[str] | None = None) -> DataFrame:
@@ -86,6 +109,9 @@ def encode(df: DataFrame, layout: Layout, weight_col: str | None = None, keep: l
             num.append(F.array(F.lit(1.0)))
         elif s.kind == "numeric":
             num.append(F.array(F.coalesce(number(s.variable, df), F.lit(0.0))))
+        elif s.table is not None:
+            rows = _joined(rows, s.variable, s.table.select(F.col("level").alias(level), F.col("codes").alias(found_in[i])), level)
+            num.append(F.coalesce(F.col(found_in[i]), F.array(*[F.lit(0.0)] * len(s.names)).cast("array<double>")))
         elif s.kind == "levels":
             rows = _lookup(rows, s.variable, [(n, s.start + j) for j, n in enumerate(s.names)], level, found_in[i], "int")
             cat.append(F.coalesce(F.col(found_in[i]), F.lit(-1)))
@@ -132,7 +158,7 @@ def effects(layout: Layout, x, detailed: bool = False) -> list[tuple[str, int, s
             if s.kind != "codes":
                 out += [(s.variable, c, n, float(v)) for n, v in zip(s.names, b, strict=True)]
                 continue
-            for level, codes in s.codes.items():
+            for level, codes in s.held().items():
                 parts = [float(v * w) for v, w in zip(codes, b, strict=True)]
                 out.append((s.variable, c, f"{level}_effect" if detailed else level, sum(parts)))
                 if detailed:
@@ -140,6 +166,21 @@ def effects(layout: Layout, x, detailed: bool = False) -> list[tuple[str, int, s
     return out
 
 
+def slot_effects(spark: SparkSession, layout: Layout, x, slot: Slot) -> DataFrame:
+    """(level, effect): of each level of a categorical the effects on all outcomes, as an array."""
+    b = np.asarray(x, float).reshape(len(layout.outcomes), layout.width)[:, slot.start : slot.start + len(slot.names)]
+    if slot.table is not None:
+        dot = lambda row: F.aggregate(F.zip_with("codes", F.array(*map(F.lit, row)), lambda a, c: a * c), F.lit(0.0), lambda a, c: a + c)
+        return slot.table.select("level", F.array(*map(dot, b.tolist())).alias("effect"))
+    if slot.kind == "levels":
+        levels, effect = slot.names, b.T
+    else:
+        levels, effect = list(slot.codes), np.array([[sum(v * w for v, w in zip(codes, row, strict=True)) for row in b.tolist()] for codes in slot.codes.values()])
+    at = pa.array(np.arange(len(levels) + 1) * len(b), pa.int32())
+    table = pa.table({"level": pa.array(levels, pa.string()), "effect": pa.ListArray.from_arrays(at, pa.array(np.ravel(effect).astype(float), pa.float64()))})
+    return spark.createDataFrame(table, "level string, effect array<double>")
+
+
 def effect_of(layout: Layout, x, variable: str, value: str | None, category: int = 0) -> float:
     """Contribution of one seen value; an unknown level has none."""
     for s in layout.slots:
@@ -151,5 +192,5 @@ def effect_of(layout: Layout, x, variable: str, value: str | None, category: int
                 return float(b[0]) * float(value)
             if s.kind == "levels":
                 return float(b[s.names.index(value)]) if value in s.names else 0.0
-            return float(sum(v * w for v, w in zip(s.codes.get(value, ()), b, strict=False)))
+            return float(sum(v * w for v, w in zip(s.held().get(value, ()), b, strict=False)))
     return 0.0

@@ -67,15 +67,22 @@ def merge_kinds(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.union(b).groupBy("variable").agg(F.min("kind").alias("kind"))
 
 
-def schema_scan(df: DataFrame, formula: Formula) -> Schema:
-    """Two scans: kinds, then levels.  The result is as large as the level tables."""
+def schema_scan(df: DataFrame, formula: Formula, most: int | None = None) -> Schema:
+    """Two scans: kinds, then levels.  The result is as large as the level tables.
+
+    most: a variable of more levels than that has none here, its level table stays on the cluster.
+    """
     df = df.select(*[f"`{t}`" for t in formula.terms()])
     kinds = {r[0]: r[1] for r in infer_kinds(df, formula).collect()}
     cat = sorted(v for v, k in kinds.items() if k == "categorical")
     outcomes = tuple(sorted(r[0] for r in outcome_levels(df, formula).collect()))
     levels: dict[str, list[str]] = {}
-    for r in trim_stuck(level_counts(df, formula, cat)).collect() if cat else []:
-        levels.setdefault(r[0], []).append(r[1])
+    if cat:
+        counts = trim_stuck(level_counts(df, formula, cat))
+        wide = [] if most is None else [r[0] for r in high_card(counts, most).collect()]
+        levels = {v: [] for v in wide}
+        for r in (counts.where(~F.col("variable").isin(wide)) if wide else counts).collect() if len(wide) < len(cat) else []:
+            levels.setdefault(r[0], []).append(r[1])
     return Schema(outcomes, tuple(sorted(v for v, k in kinds.items() if k == "numeric")), {v: tuple(sorted(x)) for v, x in sorted(levels.items())})
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import complete, number, softmax, text, unused, weight
-from .layout import BROADCAST_LEVELS, Layout, effects
+from .layout import Layout, join_effects
 
 
 def _probabilities(df: DataFrame, layout: Layout, x) -> tuple[DataFrame, list[str]]:
@@ -16,18 +16,13 @@ def _probabilities(df: DataFrame, layout: Layout, x) -> tuple[DataFrame, list[st
     probs, effect = names[:k], names[k:]
     df = df.where(complete(layout.formula.variables))
     scores = [F.lit(0.0)] * k
-    eff: dict[str, dict[str, list[float]]] = {}
-    for v, c, lv, value in effects(layout, x):
-        eff.setdefault(v, {}).setdefault(lv, [0.0] * k)[c] = value
     for i, s in enumerate(layout.slots):
         if s.kind == "const":
             scores = [t + float(x[c * d + s.start]) for c, t in enumerate(scores)]
         elif s.kind == "numeric":
             scores = [t + F.coalesce(number(s.variable, df), F.lit(0.0)) * float(x[c * d + s.start]) for c, t in enumerate(scores)]
         else:
-            table = df.sparkSession.createDataFrame(list(eff[s.variable].items()), f"`{level}` string, `{effect[i]}` array<double>")
-            table = F.broadcast(table) if len(eff[s.variable]) <= BROADCAST_LEVELS else table
-            df = df.join(table, text(s.variable) == F.col(level), "left").drop(level)
+            df = join_effects(df, layout, x, s, level, effect[i])
             scores = [t + F.coalesce(F.get(effect[i], F.lit(c)), F.lit(0.0)) for c, t in enumerate(scores)]
     df = df.select(*[f"`{c}`" for c in columns], *[t.alias(p) for t, p in zip(scores, probs, strict=True)])
     return softmax(df, probs, probs, total), probs

@@ -572,9 +572,10 @@ _ORDER = "case code " + " ".join(f"when '{c}' then {n}" for n, c in enumerate(im
 
 @query("impact_recode", f"{_KEPT} select 'user_id' as variable, 'CategoricalVectorEnc' as kind, code || '_' || outcome as level, cast(row_number() over (order by outcome, {_ORDER}) as integer) as idx from kept union all select '', 'Const', '', 0")
 def _(spark, sf):
-    codes = impact.impact_code_filter(impact.impact_codes(_events_stats(spark, sf)))
-    lay = layout.make_layout(EVENTS, schema.schema_scan(table(spark, sf, "events"), EVENTS), impact.collect_codes(codes, sorted(r[0] for r in schema.outcome_levels(table(spark, sf, "events"), EVENTS).collect())))
-    return layout.layout_table(spark, lay)
+    df = table(spark, sf, "events")
+    s = schema.schema_scan(df, EVENTS, most=100)
+    stats = impact.impact_stats(df, layout.make_layout(EVENTS, s), ["user_id"])
+    return layout.layout_table(spark, layout.make_layout(EVENTS, s, impact.code_tables(stats, s.outcomes)))
 
 
 @query("warm_start", f"""select outcome, outcomegroup, variable, kind, level, cast(case level when 'effectTerm_F' then (outcomegroup = 0)::int when 'logbayes_F' then 0 else ((j * 3 + outcomegroup * 21) % 11 - 5) / 100.0 end as double) as value
