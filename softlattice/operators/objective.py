@@ -1,8 +1,8 @@
 """The objective: log-likelihood, gradient and Hessian as one partition-parallel aggregation, and the penalty.
 
 Maximised: f = sum w ln p_c, p the softmax of the K blocks' scores.  Each
-partition gives one packed partial; groups of about the square root of their
-number are added on the cluster, then the groups' sums, one after another in
+partition gives one packed partial; of more than FEW, groups of about the square
+root of their number are added on the cluster, then the sums, one after another in
 partition order, so a task holds two of them, the driver gets one, and sums do
 not depend on timing.
 """
@@ -20,6 +20,10 @@ from .layout import Layout, dense_columns
 from .reduce import in_tree
 
 
+#: So many partials at most are added in one step.
+FEW = 16
+
+
 @dataclass
 class Eval:
     """Value, gradient and Hessian at x; g and h are None where not asked for."""
@@ -106,7 +110,8 @@ class DataObjective:
     def __init__(self, encoded: DataFrame, layout: Layout, approximate: bool = False):
         self.exp = fast_exp if approximate else np.exp
         self.rows, self.layout = encoded.where("category >= 0 and weight > 0"), layout
-        self.groups = math.isqrt(max(encoded.rdd.getNumPartitions(), 1))
+        parts = encoded.rdd.getNumPartitions()
+        self.groups = math.isqrt(parts) if parts > FEW else 1
 
     @property
     def dims(self) -> int:

@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 
 
 def in_tree(parts: DataFrame, groups: int, add: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
-    """Rows (part, ...) merged by `add` in `groups` tasks, then in one; each sees its rows in the order of `part`."""
+    """Rows (part, ...) merged by `add` in `groups` tasks, then in one; each sees its rows in the order of `part`.
+
+    The last step is dealt without a key, so that no setting can make it more than one task.
+    """
     for n in sorted({groups, 1}, reverse=True):
-        parts = parts.repartition(n, F.col("part")).sortWithinPartitions("part").mapInArrow(add, parts.schema)
+        parts = (parts.repartition(n, F.col("part")) if n > 1 else parts.repartition(1)).sortWithinPartitions("part").mapInArrow(add, parts.schema)
     return parts
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from softlattice.functions.formula import Formula
-from softlattice.operators import impact, layout, objective, schema, score
+from softlattice.operators import impact, layout, objective, reduce, schema, score
 from softlattice.plans import optim
 from softlattice.plans.train import _summed, train_plus
 from softlattice.queries import QUERIES
@@ -116,3 +116,11 @@ def test_training_agrees_with_codes_on_the_driver(spark):
         want = np.array(impact.translate(lay, x, plain))
         rows_of = lambda q: np.array([r["_p"] for r in score.predict(df, plain, q).orderBy("v", "u", "n").collect()])
         assert np.abs(rows_of(want) - rows_of(m.x)).max() < 1e-4
+
+
+def test_the_last_merge_is_one_task(spark, monkeypatch):
+    """Also where a setting raises the number of tasks that rows are dealt to by a key: else a part of the sum would pass for all of it."""
+    kind = type(spark.range(0))
+    monkeypatch.setattr(kind, "repartition", lambda self, n, *cols, f=kind.repartition: f(self, max(n, 13) if cols else n, *cols))
+    total = lambda a, batch: a + sum(batch.column("id").to_pylist())
+    assert reduce.reduce_parallel(spark.range(0, 1000, 1, 40), int, total, lambda a, b: a + b) == 499_500
